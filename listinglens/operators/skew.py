@@ -32,6 +32,15 @@ def broadcast_if_small(
     return F.broadcast(df) if size <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread few but costly rows over all shuffle partitions.
+
+    AQE merges partitions by bytes; rows about to be exploded or compared need
+    parallelism by work instead.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def chunked_rank(
     df: DataFrame,
     chunk: Sequence[str],
@@ -129,7 +138,9 @@ def join_hot_split(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), piece - 1)))
         .drop("_pieces")
     )
-    joined = salted_left.join(salted_right, [*keys, "_salt"])
+    # Exploded sides are far larger than the planner's estimate of them, so the
+    # shuffle is asked for; AQE still splits and coalesces its partitions.
+    joined = salted_left.hint("merge").join(salted_right, [*keys, "_salt"])
     if condition is not None:
         joined = joined.filter(condition)
     return joined.drop("_salt")

@@ -67,16 +67,16 @@ def _is_far(place: Column, settings: Settings) -> Column:
 
 def _verdict(settings: Settings) -> Column:
     """True or false when the summary settles it, else null."""
-    proven = F.lit(False)
-    for side in SIDES:
-        proven = proven | _is_far(F.col(side), settings)
+    proven = F.exists(F.array(*SIDES), lambda place: _is_far(place, settings))
     south, north = F.col("south.lat"), F.col("north.lat")
     west, east = F.col("west.lng"), F.col("east.lng")
-    corners = [
-        geodesic_m(F.col("lat"), F.col("lng"), y, x) for y in (south, north) for x in (west, east)
-    ]
-    small = (north - south < 1) & (east - west < 1)
-    excluded = small & (F.greatest(*corners) < settings.far_metres * 0.99)
+    corners = F.array(
+        *[F.struct(y.alias("lat"), x.alias("lng")) for y in (south, north) for x in (west, east)]
+    )
+    within = settings.far_metres * 0.99
+    excluded = (north - south < 1) & (east - west < 1) & ~F.exists(
+        corners, lambda c: geodesic_m(F.col("lat"), F.col("lng"), c["lat"], c["lng"]) >= within
+    )
     return F.when(proven, True).when(excluded, False)
 
 

@@ -31,6 +31,15 @@ def lambert_sql(lat1, lng1, lat2, lng2) -> str:
             FROM (SELECT {b(lat1)} AS b1, {b(lat2)} AS b2)))"""
 
 
+def midlat_sql(lat1, lng1, lat2, lng2) -> str:
+    """Short distances on WGS84: radii of curvature at the mean latitude."""
+    e2 = "CAST(0.0066943799901413165 AS DOUBLE)"
+    return f"""(SELECT 6378137.0 * sqrt(pow((1 - {e2}) / pow(1 - {e2} * pow(sin(mid), 2), 1.5) * dphi, 2)
+        + pow(cos(mid) / sqrt(1 - {e2} * pow(sin(mid), 2)) * dlam, 2))
+      FROM (SELECT radians(({lat1} + {lat2}) / 2) AS mid, radians({lat2} - {lat1}) AS dphi,
+                   radians({lng2} - {lng1}) AS dlam))"""
+
+
 block(
     "spot",
     "SELECT DISTINCT lat, lng FROM lst WHERE lat IS NOT NULL AND lng IS NOT NULL",
@@ -68,13 +77,13 @@ def _(spark, sf):
 
 @query(
     "geodesic_short",
-    f"""SELECT a.id, round({lambert_sql('a.lat', 'a.lng', 'a.lat + 0.001', 'a.lng + 0.002')}, 2) AS metres
+    f"""SELECT a.id, round({midlat_sql('a.lat', 'a.lng', 'a.lat + 0.001', 'a.lng + 0.002')}, 3) AS metres
         FROM lst a WHERE a.lat IS NOT NULL""",
 )
 def _(spark, sf):
     df = X.listings(spark, sf).filter("lat is not null")
     lat, lng = F.col("lat"), F.col("lng")
-    return df.select("id", F.round(geodesic_m(lat, lng, lat + 0.001, lng + 0.002), 2).alias("metres"))
+    return df.select("id", F.round(geodesic_m(lat, lng, lat + 0.001, lng + 0.002), 3).alias("metres"))
 
 
 block(
