@@ -301,7 +301,9 @@ def get_clusters(
         wanted = with_source_member(clusters, listings, filters.sources)
     cards = _base_cards(wanted, listings, filter_conditions(filters, run_ts, settings), run_ts, settings)
     if exact:
-        cards = _proximity_filter(_with_proximity(cards, stations, places, settings), filters, settings)
+        # Points are read by both nearest-neighbour searches: keep the cards once.
+        located = _with_proximity(cut_lineage(cards), stations, places, settings)
+        cards = _proximity_filter(located, filters, settings)
         page = cards.orderBy(*final_order(filters.sort)).limit(filters.limit)
         page = cut_lineage(page)
     else:
@@ -323,7 +325,7 @@ def get_clusters_by_id(
 ) -> DataFrame:
     """Cards of given cluster ids, newest first, whatever their state or the filters."""
     wanted = clusters.join(ids.select("cluster_id").distinct(), "cluster_id", "left_semi")
-    cards = _base_cards(wanted, listings, F.lit(True), run_ts, settings)
+    cards = cut_lineage(_base_cards(wanted, listings, F.lit(True), run_ts, settings))
     cards = _with_proximity(cards, stations, places, settings)
     return with_status(cards, settings).orderBy(*feed_order("newest"))
 

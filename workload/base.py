@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from listinglens.session import scratch_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 BLOCKS: dict[str, str] = {}
@@ -37,6 +39,22 @@ def compose(body: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{body}"
 
 
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
+def staged(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The output table of a stage, written once per application and data folder.
+
+    Feed queries read stored stage tables, they do not re-run the stages.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STAGED:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
+
+
 def query(name: str, sql: str | None = None):
     """Register a query; ``sql`` is its equivalent for the SQL check."""
 

@@ -16,7 +16,7 @@ from listinglens.operators import feed as Q
 from listinglens.operators.duplicates import build_clusters
 from listinglens.settings import Anchor, Settings
 from workload import fixtures as X
-from workload.base import block, query
+from workload.base import block, query, staged
 from workload.geo import CLASS_SQL, haversine_sql, lambert_sql
 
 ANCHOR = Settings(anchor=Anchor(49.2, 16.6, "Office"))
@@ -114,9 +114,10 @@ def shown(cards):
 
 
 def homes_and_clusters(spark, sf):
-    homes = X.scored_houses(spark, sf)
+    homes = staged(spark, sf, "scored", lambda: X.scored_houses(spark, sf))
     components = homes.select("id", F.col("cluster_id").alias("component"))
-    return homes, build_clusters(homes, components)
+    clusters = staged(spark, sf, "clusters", lambda: build_clusters(homes, components))
+    return homes, clusters
 
 
 def feed(spark, sf, filters, exact=False):
