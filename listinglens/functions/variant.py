@@ -13,7 +13,12 @@ def parse(payload: Column) -> Column:
 def field(value: Column, path: str) -> Column:
     """Sub-value at ``path`` (``"a.b"``), null when absent or JSON null."""
     got = F.try_variant_get(value, f"$.{path}", "variant")
-    return F.when(F.schema_of_variant(got) != "VOID", got)
+    return F.when(~F.is_variant_null(got), got)
+
+
+def fields(value: Column, **paths: str) -> list[Column]:
+    """Named sub-values to select ahead of the rules that look at them several times."""
+    return [field(value, path).alias(name) for name, path in paths.items()]
 
 
 def kind(value: Column) -> Column:
@@ -25,7 +30,7 @@ def is_number(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return kind(value).startswith("OBJECT")
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def first_of(*values: Column) -> Column:
@@ -86,6 +91,4 @@ def is_true(value: Column) -> Column:
 
 def items(value: Column) -> Column:
     """Elements when the value is an array, else null."""
-    return F.when(
-        kind(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")
-    )
+    return F.try_variant_get(value, "$", "array<variant>")

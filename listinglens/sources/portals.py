@@ -104,16 +104,23 @@ def image_urls(entries: Column, portal: Portal = PORTAL_A) -> Column:
     return F.coalesce(F.transform(urls, finished), F.array().cast("array<string>"))
 
 
-def detail_url(kind: Column, locality: Column, advert_id: Column, portal: Portal = PORTAL_A) -> Column:
-    """Public page of a portal A advert; the slug may be any text but the keyword must be real."""
+# Address parts of the URL slug; the first present of each group counts.
+SLUG_GROUPS = [["city", "district"], ["citypart", "municipality", "quarter"], ["street"]]
 
-    def seo(*names: str) -> Column:
-        chosen = V.full_text(V.first_of(*[V.field(locality, f"{n}_seo_name") for n in names]))
-        return chosen
 
-    slug = F.concat_ws(
-        "-", seo("city", "district"), seo("citypart", "municipality", "quarter"), seo("street")
-    )
+def _slug_fields() -> dict[str, str]:
+    return {f"seo_{n}": f"{n}_seo_name" for group in SLUG_GROUPS for n in group}
+
+
+def detail_url(kind: Column, advert_id: Column, portal: Portal = PORTAL_A) -> Column:
+    """Public page of a portal A advert, from the ``seo_*`` fields of its locality.
+
+    The slug may be any text but the keyword must be real.
+    """
+    parts = [
+        V.full_text(V.first_of(*[F.col(f"seo_{n}") for n in group])) for group in SLUG_GROUPS
+    ]
+    slug = F.concat_ws("-", *parts)
     keyword = F.create_map(*[F.lit(x) for pair in KIND_SLUGS.items() for x in pair])[kind]
     return F.concat_ws(
         "/",
@@ -135,37 +142,62 @@ def _items_of(pages: DataFrame, portal: Portal, path: str) -> DataFrame:
 
 def normalize_search_json(pages: DataFrame) -> DataFrame:
     """Portal A result pages -> listing rows."""
-    item = F.col("item")
-    rows = _items_of(pages, PORTAL_A, "results").select(
+    item, c = F.col("item"), F.col
+    adverts = _items_of(pages, PORTAL_A, "results").select(
+        "*",
+        *V.fields(
+            item,
+            hash_id="hash_id",
+            advert_name="advert_name",
+            loc="locality",
+            sub="category_sub_cb.name",
+            price_czk="price_czk",
+            plain_price="price",
+            premise_id="premise_id",
+            premise="premise",
+            all_entries="advert_images_all",
+            some_entries="advert_images",
+        ),
+    ).filter(c("hash_id").isNotNull())
+    placed = adverts.select(
         "*",
-        V.as_text(V.field(item, "hash_id")).alias("source_id"),
-        F.coalesce(V.text(V.field(item, "advert_name")), F.lit("")).alias("title"),
-        V.field(item, "locality").alias("loc"),
-        V.text(V.field(item, "category_sub_cb.name")).alias("sub_name"),
-        image_urls(V.field(item, "advert_images_all")).alias("all_images"),
-        image_urls(V.field(item, "advert_images")).alias("some_images"),
-    ).filter(F.col("source_id").isNotNull())
-    loc = F.col("loc")
-    usable, land = areas_from_name(F.col("title"))
-    price = V.loose_number(V.first_of(V.field(item, "price_czk"), V.field(item, "price")))
-    agency = V.truthy(V.first_of(V.field(item, "premise_id"), V.field(item, "premise")))
-    kinded = rows.withColumn("property_kind", classify_kind_a(F.col("sub_name"), F.col("title")))
+        *V.fields(
+            c("loc"),
+            gps_lat="gps_lat",
+            gps_lon="gps_lon",
+            district="district",
+            citypart="citypart",
+            quarter="quarter",
+            municipality="municipality",
+            city="city",
+            **_slug_fields(),
+        ),
+        V.as_text(c("hash_id")).alias("source_id"),
+        F.coalesce(V.text(c("advert_name")), F.lit("")).alias("title"),
+        V.text(c("sub")).alias("sub_name"),
+        V.first_of(c("price_czk"), c("plain_price")).alias("asked"),
+        V.first_of(c("premise_id"), c("premise")).alias("office"),
+        image_urls(c("all_entries")).alias("all_images"),
+        image_urls(c("some_entries")).alias("some_images"),
+    )
+    kinded = placed.withColumn("property_kind", classify_kind_a(c("sub_name"), c("title")))
+    usable, land = areas_from_name(c("title"))
     return conform(
         kinded.withColumns(
             {
-                "url": detail_url(F.col("property_kind"), loc, F.col("source_id")),
-                "price": js_round(price),
+                "url": detail_url(c("property_kind"), c("source_id")),
+                "price": js_round(V.loose_number(c("asked"))),
                 "usable_area_m2": _as_int(usable),
                 "land_area_m2": _as_int(land),
-                "lat": V.loose_number(V.field(loc, "gps_lat")),
-                "lng": V.loose_number(V.field(loc, "gps_lon")),
+                "lat": V.loose_number(c("gps_lat")),
+                "lng": V.loose_number(c("gps_lon")),
                 "locality_text": locality_label(
-                    V.text(V.field(loc, "district")),
-                    *[V.text(V.field(loc, n)) for n in ("citypart", "quarter", "municipality", "city")],
+                    V.text(c("district")),
+                    *[V.text(c(n)) for n in ("citypart", "quarter", "municipality", "city")],
                 ),
-                "seller_type": F.when(agency, "agency").otherwise("private"),
-                "photos": F.when(F.size("all_images") > 0, F.col("all_images")).otherwise(
-                    F.col("some_images")
+                "seller_type": F.when(V.truthy(c("office")), "agency").otherwise("private"),
+                "photos": F.when(F.size("all_images") > 0, c("all_images")).otherwise(
+                    c("some_images")
                 ),
                 "labels": F.array().cast("array<string>"),
             }
@@ -176,75 +208,116 @@ def normalize_search_json(pages: DataFrame) -> DataFrame:
 
 def normalize_detail_json(details: DataFrame) -> DataFrame:
     """Portal A detail bodies (source, source_id, payload) -> patch rows."""
-    rows = details.select(
-        "source", "source_id", V.field(V.parse(F.col("payload")), "result").alias("d")
-    ).filter(V.is_object(F.col("d")))
-    d = F.col("d")
-    premise = F.when(V.is_object(V.field(d, "premise")), V.field(d, "premise"))
-    ico = V.truthy(V.field(premise, "company.company_ic"))
-    since = V.text(V.first_of(V.field(d, "since"), V.field(d, "beginning_date")))
-    area = lambda *names: _as_int(
-        V.loose_number(V.first_of(*[V.field(d, n) for n in names]))
+    c = F.col
+    results = details.select(
+        "source", "source_id", V.field(V.parse(c("payload")), "result").alias("d")
+    ).filter(V.is_object(c("d")))
+    rows = results.select(
+        "source",
+        "source_id",
+        *V.fields(
+            c("d"),
+            about="advert_description",
+            usable="usable_area",
+            estate="estate_area",
+            garden="garden_area",
+            building="building_area",
+            floor="floor_area",
+            rooms="room_count_cb.name",
+            since="since",
+            beginning="beginning_date",
+            any_premise="premise",
+            exclusive="exclusively_at_rk",
+            old_czk="price_summary_old_czk",
+            old="price_summary_old",
+            price="price_czk",
+        ),
+    ).select(
+        "*",
+        V.first_of(c("estate"), c("garden")).alias("land"),
+        V.first_of(c("building"), c("floor")).alias("built"),
+        V.first_of(c("since"), c("beginning")).alias("posted"),
+        V.first_of(c("old_czk"), c("old")).alias("old_price"),
+        F.when(V.is_object(c("any_premise")), c("any_premise")).alias("premise"),
     )
-    old = V.loose_number(
-        V.first_of(V.field(d, "price_summary_old_czk"), V.field(d, "price_summary_old"))
+    offices = rows.select(
+        "*",
+        *V.fields(c("premise"), ico="company.company_ic", name="name", seo_name="seo_name"),
     )
-    return rows.select(
+    agency = c("premise").isNotNull()
+    return offices.select(
         "source",
         "source_id",
-        strip_html(V.text(V.field(d, "advert_description"))).alias("description"),
-        area("usable_area").alias("usable_area_m2"),
-        area("estate_area", "garden_area").alias("land_area_m2"),
-        area("building_area", "floor_area").alias("built_up_area_m2"),
-        V.text(V.field(d, "room_count_cb.name")).alias("disposition"),
-        F.try_to_timestamp(since).alias("posted_at"),
-        F.when(premise.isNotNull(), "agency").otherwise("private").alias("seller_type"),
-        (premise.isNotNull() & ico).alias("has_ico"),
-        V.text(V.first_of(V.field(premise, "name"), V.field(premise, "seo_name"))).alias(
-            "seller_name"
-        ),
+        strip_html(V.text(c("about"))).alias("description"),
+        _as_int(V.loose_number(c("usable"))).alias("usable_area_m2"),
+        _as_int(V.loose_number(c("land"))).alias("land_area_m2"),
+        _as_int(V.loose_number(c("built"))).alias("built_up_area_m2"),
+        V.text(c("rooms")).alias("disposition"),
+        F.try_to_timestamp(V.text(c("posted"))).alias("posted_at"),
+        F.when(agency, "agency").otherwise("private").alias("seller_type"),
+        (agency & V.truthy(c("ico"))).alias("has_ico"),
+        V.text(V.first_of(c("name"), c("seo_name"))).alias("seller_name"),
         price_labels(
-            old,
-            V.loose_number(V.field(d, "price_czk")),
-            V.is_true(V.field(d, "exclusively_at_rk")),
+            V.loose_number(c("old_price")), V.loose_number(c("price")), V.is_true(c("exclusive"))
         ).alias("labels"),
     )
 
 
 def normalize_adverts_json(pages: DataFrame) -> DataFrame:
     """Portal B advert pages -> listing rows; this portal has no detail step."""
-    item = F.col("item")
-    rows = _items_of(pages, PORTAL_B, "data.listAdverts.list").withColumn(
-        "source_id", V.as_text(V.field(item, "id"))
-    ).filter(F.col("source_id").isNotNull())
-    agency = V.is_object(V.field(item, "broker"))
-    agency = F.coalesce(agency, F.lit(False))
-    price = V.number(V.field(item, "price"))
-    gallery = F.filter(
-        F.transform(V.items(V.field(item, "publicImages")), lambda e: V.text(V.field(e, "url"))),
-        lambda u: u.isNotNull(),
+    c = F.col
+    adverts = _items_of(pages, PORTAL_B, "data.listAdverts.list").select(
+        "*",
+        *V.fields(
+            F.col("item"),
+            id="id",
+            uri="uri",
+            title="title",
+            about="description",
+            asked="price",
+            original="originalPrice",
+            surface="surface",
+            surface_land="surfaceLand",
+            layout="disposition",
+            gps_lat="gps.lat",
+            gps_lng="gps.lng",
+            district="cityDistrict",
+            city="city",
+            address="address",
+            main="mainImage.url",
+            public="publicImages",
+            broker="broker",
+        ),
+    ).filter(c("id").isNotNull())
+    rows = adverts.withColumns(
+        {
+            "agency": V.is_object(c("broker")),
+            "gallery": F.filter(
+                F.transform(V.items(c("public")), lambda e: V.text(V.field(e, "url"))),
+                lambda u: u.isNotNull(),
+            ),
+            "price": V.number(c("asked")),
+        }
     )
     return conform(
         rows.withColumns(
             {
-                "url": F.concat(
-                    F.lit(PORTAL_B.detail_base + "/"), V.full_text(V.field(item, "uri"))
-                ),
-                "price": price,
-                "property_kind": classify_kind_b(V.full_text(V.field(item, "title"))),
-                "usable_area_m2": V.number(V.field(item, "surface")),
-                "land_area_m2": V.number(V.field(item, "surfaceLand")),
-                "disposition": disposition(V.text(V.field(item, "disposition"))),
-                "lat": V.number(V.field(item, "gps.lat")),
-                "lng": V.number(V.field(item, "gps.lng")),
+                "source_id": V.as_text(c("id")),
+                "url": F.concat(F.lit(PORTAL_B.detail_base + "/"), V.full_text(c("uri"))),
+                "property_kind": classify_kind_b(V.full_text(c("title"))),
+                "usable_area_m2": V.number(c("surface")),
+                "land_area_m2": V.number(c("surface_land")),
+                "disposition": disposition(V.text(c("layout"))),
+                "lat": V.number(c("gps_lat")),
+                "lng": V.number(c("gps_lng")),
                 "locality_text": F.coalesce(
-                    *[V.full_text(V.field(item, n)) for n in ("cityDistrict", "city", "address")]
+                    *[V.full_text(c(n)) for n in ("district", "city", "address")]
                 ),
-                "seller_type": F.when(agency, "agency").otherwise("private"),
-                "has_ico": agency,
-                "description": V.full_text(V.field(item, "description")),
-                "photos": merge_gallery(V.text(V.field(item, "mainImage.url")), gallery),
-                "labels": price_labels(V.number(V.field(item, "originalPrice")), price),
+                "seller_type": F.when(c("agency"), "agency").otherwise("private"),
+                "has_ico": c("agency"),
+                "description": V.full_text(c("about")),
+                "photos": merge_gallery(V.text(c("main")), c("gallery")),
+                "labels": price_labels(V.number(c("original")), c("price")),
             }
         ),
         RAW_LISTING,
@@ -302,26 +375,47 @@ def normalize_detail_html(details: DataFrame, settings: Settings = DEFAULTS) ->
             F.try_variant_get(b, '$["@type"]', "string") == "individualProduct", F.lit(False)
         ),
     )
-    rows = details.select("source", "source_id", "payload", F.get(products, F.lit(0)).alias("p"))
-    p = F.col("p")
+    c = F.col
+    rows = details.select(
+        "source", "source_id", "payload", F.get(products, F.lit(0)).alias("p")
+    ).select(
+        "*",
+        *V.fields(
+            c("p"),
+            asked="offers.price",
+            about="description",
+            town="offers.areaServed.address.addressLocality",
+            title="name",
+            lead="image",
+        ),
+    )
     lat, lng = parse_gps(html)
-    both = lat.isNotNull() & lng.isNotNull()
-    name = V.text(V.field(p, "name"))
     found = F.transform(
         F.regexp_extract_all(html, F.lit(GALLERY_PHOTO), F.lit(1)),
         lambda u: F.regexp_replace(u, "/[0-9]+x[0-9]+_jpg/", "/640x640_jpg/"),
     )
-    photos = merge_gallery(V.text(V.field(p, "image")), found, settings.max_images_per_listing)
-    return rows.select(
+    read = rows.withColumns(
+        {
+            "lat": lat,
+            "lng": lng,
+            "name": V.text(c("title")),
+            "raw_text": V.text(c("about")),
+            "photos": merge_gallery(
+                V.text(c("lead")), found, settings.max_images_per_listing
+            ),
+        }
+    )
+    both = c("lat").isNotNull() & c("lng").isNotNull()
+    return read.select(
         "source",
         "source_id",
-        js_round(V.loose_number(V.field(p, "offers.price"))).alias("price"),
-        clean_description(V.text(V.field(p, "description"))).alias("description"),
-        V.full_text(V.field(p, "offers.areaServed.address.addressLocality")).alias("locality_text"),
-        _as_int(F.regexp_extract(name, rf"([0-9]{{2,4}}){SPACE}*m[²2]", 1)).alias("usable_area_m2"),
-        F.when(both, lat).alias("lat"),
-        F.when(both, lng).alias("lng"),
-        F.when(F.size(photos) > 0, photos).alias("photos"),
+        js_round(V.loose_number(c("asked"))).alias("price"),
+        clean_description(c("raw_text")).alias("description"),
+        V.full_text(c("town")).alias("locality_text"),
+        _as_int(F.regexp_extract("name", rf"([0-9]{{2,4}}){SPACE}*m[²2]", 1)).alias("usable_area_m2"),
+        F.when(both, c("lat")).alias("lat"),
+        F.when(both, c("lng")).alias("lng"),
+        F.when(F.size("photos") > 0, c("photos")).alias("photos"),
     )
 
 

@@ -61,7 +61,7 @@ def _pages(rows, source: str, region: str, wrap: str, per_page: int = 100):
         "page_no",
         F.lit(False).alias("failed"),
         F.concat(
-            F.lit(head),
+            F.replace(F.lit(head), F.lit("{total}"), F.col("total").cast("string")),
             F.array_join(F.transform("entries", lambda e: e["item"]), ","),
             F.replace(F.lit(tail), F.lit("{total}"), F.col("total").cast("string")),
         ).alias("payload"),
