@@ -97,18 +97,27 @@ def strip_html(html: Column) -> Column:
     return empty_to_null(collapse_spaces(text))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _substitute(text: Column, pattern: str, replacement) -> Column:
     """Replace each match of ``pattern`` (one capture group) by ``replacement(group, whole)``.
 
     Splitting at the matches and zipping the pieces with the replacements makes
     one left-to-right pass, so a replacement is never matched again.
     """
-    pieces = F.split(text, pattern, -1)
-    groups = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(2))
-    wholes = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    swaps = F.zip_with(groups, wholes, replacement)
-    woven = F.zip_with(pieces, swaps, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(woven, "")).otherwise(text)
+
+    def swapped(t: Column) -> Column:
+        groups = F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(2))
+        wholes = F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
+        swaps = F.zip_with(groups, wholes, replacement)
+        pieces = F.split(t, pattern, -1)
+        woven = F.zip_with(pieces, swaps, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
+        return F.when(t.rlike(pattern), F.array_join(woven, "")).otherwise(t)
+
+    return bind(text, swapped)
 
 
 def _code_point(number: Column, whole: Column) -> Column:
