@@ -26,7 +26,8 @@ def kind(value: Column) -> Column:
 
 
 def is_number(value: Column) -> Column:
-    return kind(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    shape = kind(value)
+    return shape.isin("BIGINT", "DOUBLE", "FLOAT") | shape.startswith("DECIMAL")
 
 
 def is_object(value: Column) -> Column:

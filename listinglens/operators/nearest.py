@@ -34,41 +34,48 @@ def _parent(cube: str, level: Column) -> Column:
     return F.floor(F.col(cube) / side).cast("long")
 
 
-def _reference_cubes(dim: DataFrame) -> DataFrame:
-    """Each reference in the 27 cubes around it, at every level."""
-    based = dim.select("ord", "lat", "lng", *[c.alias(n) for c, n in zip(_cubes(F.col("lat"), F.col("lng")), CUBE)])
-    levelled = based.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).select(
-        "ord", "lat", "lng", "level", *[_parent(c, F.col("level")).alias(c) for c in CUBE]
-    )
-    around = F.sequence(F.lit(-1), F.lit(1))
+def _around(df: DataFrame) -> DataFrame:
+    """The 27 cubes around each row's cube."""
+    step = F.sequence(F.lit(-1), F.lit(1))
     for name in CUBE:
-        levelled = levelled.withColumn("_step", F.explode(around)).withColumn(
+        df = df.withColumn("_step", F.explode(step)).withColumn(
             name, F.col(name) + F.col("_step")
         )
-    return levelled.drop("_step")
+    return df.drop("_step")
+
+
+def _at_all_levels(df: DataFrame, *keep: str, prefix: str = "") -> DataFrame:
+    """One row per pyramid level with the parent cube of that level."""
+    levelled = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    return levelled.select(
+        *keep, "level", *[_parent(f"{prefix}{c}", F.col("level")).alias(c) for c in CUBE]
+    )
 
 
 def candidates(cubes: DataFrame, dim: DataFrame) -> DataFrame:
     """References that can be nearest to some point of each base cube."""
-    refs = _reference_cubes(dim)
-    occupied = refs.select("level", *CUBE).distinct()
+    based = dim.select(
+        "ord",
+        F.col("lat").alias("r_lat"),
+        F.col("lng").alias("r_lng"),
+        *[c.alias(n) for c, n in zip(_cubes(F.col("lat"), F.col("lng")), CUBE)],
+    )
+    refs = _at_all_levels(based, "ord", "r_lat", "r_lng")
+    # Distinct before the neighbours are listed: high levels have few cubes.
+    reached = _around(refs.select("level", *CUBE).distinct())
+    base = [f"b_{c}" for c in CUBE]
+    named = cubes.select(*[F.col(c).alias(b) for c, b in zip(CUBE, base)])
     reach = (
-        cubes.select(*[F.col(c).alias(f"b_{c}") for c in CUBE])
-        .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
-        .select("*", *[_parent(f"b_{c}", F.col("level")).alias(c) for c in CUBE])
-        .join(occupied, ["level", *CUBE], "left_semi")
-        .groupBy(*[f"b_{c}" for c in CUBE])
+        _at_all_levels(named, *base, prefix="b_")
+        .join(reached, ["level", *CUBE], "left_semi")
+        .groupBy(*base)
         .agg(F.least(F.min("level") + 1, F.lit(LEVELS - 1)).alias("level"))
     )
-    return (
-        reach.select("*", *[_parent(f"b_{c}", F.col("level")).alias(c) for c in CUBE])
-        .join(refs, ["level", *CUBE])
-        .select(
-            *[F.col(f"b_{c}").alias(c) for c in CUBE],
-            "ord",
-            F.col("lat").alias("r_lat"),
-            F.col("lng").alias("r_lng"),
-        )
+    wanted = _around(
+        reach.select(*base, "level", *[_parent(b, F.col("level")).alias(c) for c, b in zip(CUBE, base)])
+    )
+    return wanted.join(refs, ["level", *CUBE]).select(
+        *[F.col(b).alias(c) for c, b in zip(CUBE, base)], "ord", "r_lat", "r_lng"
     )
 
 
