@@ -93,3 +93,42 @@ def test_enrichment_keeps_unresolved_fields(spark):
     out = I.apply_enrichment(listings, patch)
     assert out.filter("usable_area_m2 = 77").count() >= 5
     assert out.filter("description is null").count() == listings.filter("description is null").count()
+
+
+def test_nightly_run_from_payloads(spark):
+    """Landed pages to a feed page; the second night changes nothing but the clock."""
+    from listinglens.operators.feed import FeedFilters
+    from listinglens.plans.nightly import Nightly
+    from listinglens.sources.portals import normalize_detail_json
+    from workload import portals as WP
+
+    root = scratch_path(spark, "nightly")
+    pages = WP.all_pages(spark, SF)
+    details = WP._rows(spark, SF).selectExpr(
+        "'sreality' as source", "cast(id as string) as source_id", WP.DETAIL_ITEM
+    )
+    patches = normalize_detail_json(details)
+    summaries = []
+    for version, day in ((1, "2001-08-01"), (2, "2001-08-02")):
+        run = Nightly(spark, root, version, F.lit(day).cast("timestamp"))
+        summaries.append(run.ingest_pages(pages, patches).first().asDict())
+        due = run.images_due()
+        rasters = due.select(
+            "listing_id",
+            "position",
+            "url",
+            F.transform(
+                F.sequence(F.lit(0), F.lit(71)), lambda i: F.pmod(F.hash("url", i), F.lit(256))
+            ).alias("px"),
+        )
+        run.hash(rasters)
+        run.bucket(X.areas(spark, SF))
+        run.dedupe()
+        run.score()
+    first, second = summaries
+    assert first["inserted"] == first["seen"] > 0 and first["deactivated"] == 0
+    assert second["inserted"] == 0 and second["updated"] == second["seen"] == first["seen"]
+    assert due.count() == 0
+    page = run.feed(FeedFilters(limit=20), X.stations(spark, SF), X.places(spark, SF)).collect()
+    assert [r["position"] for r in page] == list(range(1, len(page) + 1)) and page
+    assert all(r["member_count"] == len(r["members"]) for r in page)
