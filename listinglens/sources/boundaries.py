@@ -75,17 +75,17 @@ def areas_from_collections(collections: DataFrame) -> DataFrame:
 
 
 def load_areas(
-    spark: SparkSession, path: str, kind: str, region: str, srid: int = 4326, load_no: int = 0
+    spark: SparkSession, path: str, kind: str, region: str, srid: int = 4326
 ) -> DataFrame:
-    """Areas of one GeoJSON file or folder of files."""
+    """Areas of a GeoJSON file or of a folder of files, which load in order of their names."""
     if srid != 4326:
         raise ValueError("boundaries must be WGS84 (EPSG:4326)")
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return areas_from_collections(
         text.select(
             F.col("value").alias("payload"),
             F.lit(kind).alias("kind"),
             F.lit(region).alias("region"),
-            F.lit(load_no).alias("load_no"),
+            F.input_file_name().alias("load_no"),
         )
     )

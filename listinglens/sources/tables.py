@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from listinglens.operators.skew import chunked_rank
 from listinglens.schemas import PLACES, STATIONS
 
 VERSION_LOG = T.StructType([T.StructField("version", T.LongType(), False)])
@@ -83,12 +84,17 @@ def scan_active(listings: DataFrame, *columns: str) -> DataFrame:
 
 
 def _static_list(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON array of objects in one file; ``ord`` is the place in the array."""
+    """JSON arrays of objects, one per file; ``ord`` counts entries in order of file and place."""
     fields = [f for f in schema if f.name != "ord"]
     entry = T.ArrayType(T.StructType(fields))
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.from_json("value", entry)).alias("ord", "e")).select(
-        F.col("ord").cast("long").alias("ord"), *[F.col(f"e.{f.name}") for f in fields]
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    entries = text.select(
+        F.input_file_name().alias("_file"),
+        F.posexplode(F.from_json("value", entry)).alias("_place", "e"),
+    )
+    ranked = chunked_rank(entries, chunk=["_file"], order=[F.col("_place")], name="_rank")
+    return ranked.select(
+        (F.col("_rank") - 1).alias("ord"), *[F.col(f"e.{f.name}") for f in fields]
     )
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from listinglens.functions.geo import geodesic_m, haversine_km
 from listinglens.functions.listing import distance_to_centre_km, settlement_class
 from listinglens.operators.nearest import nearest_station, place_info
+from listinglens.session import scratch_path
+from listinglens.sources.tables import load_stations
 from workload import fixtures as X
 from workload.base import block, query
 
@@ -152,20 +154,22 @@ def _(spark, sf):
     )
 
 
-@query("load_stations", "SELECT ord, name, lat, lng FROM station")
+@query(
+    "load_stations",
+    "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, name, lat, lng FROM station",
+)
 def _(spark, sf):
-    """Stations written as a JSON array, one file, and read back as the static list."""
-    from listinglens.session import scratch_path
-    from listinglens.sources.tables import load_stations
-
+    """Stations written as JSON arrays of 50, one per file, and read back as the static list."""
     path = scratch_path(spark, "stations")
-    rows = X.stations(spark, sf).orderBy("ord")
-    entries = F.sort_array(F.collect_list(F.struct("ord", "name", "lat", "lng")))
-    array = F.to_json(F.transform(entries, lambda e: F.struct(e["name"].alias("name"), e["lat"].alias("lat"), e["lng"].alias("lng"))))
-    rows.agg(array.alias("value")).coalesce(1).write.text(path)
-    first = rows.agg(F.min("ord")).scalar()
-    return load_stations(spark, path).select(
-        (F.col("ord") + first).alias("ord"), "name", "lat", "lng"
+    entry = F.struct("ord", "name", "lat", "lng")
+    chunks = (
+        X.stations(spark, sf)
+        .withColumn("chunk", F.expr("lpad(cast(ord div 50 as string), 8, '0')"))
+        .groupBy("chunk")
+        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     )
-
-
+    plain = lambda e: F.struct(e["name"].alias("name"), e["lat"].alias("lat"), e["lng"].alias("lng"))
+    chunks.select("chunk", F.to_json(F.transform("entries", plain)).alias("value")).write.partitionBy(
+        "chunk"
+    ).text(path)
+    return load_stations(spark, path)

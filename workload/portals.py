@@ -48,12 +48,16 @@ def _pages(rows, source: str, region: str, wrap: str, per_page: int = 100):
     numbered = rows.selectExpr(
         f"{region} as region", f"cast(idx div {per_page} + 1 as int) as page_no", "idx", "item"
     )
-    totals = numbered.groupBy("region").agg(F.count("*").alias("total"))
     grouped = numbered.groupBy("region", "page_no").agg(
         F.sort_array(F.collect_list(F.struct("idx", "item"))).alias("entries")
     )
     head, tail = wrap.split("{items}")
-    return grouped.join(totals, "region").select(
+    if region == "'all'":
+        counted = grouped.withColumn("total", numbered.agg(F.count("*")).scalar())
+    else:
+        totals = numbered.groupBy("region").agg(F.count("*").alias("total"))
+        counted = grouped.join(totals, "region")
+    return counted.select(
         F.lit(1).cast("long").alias("run_id"),
         X.run_ts().alias("run_ts"),
         F.lit(source).alias("source"),
@@ -438,18 +442,20 @@ def _(spark, sf):
 
 
 GEOJSON = """concat('{"type":"Feature","properties":',
-  case n_nationkey % 4 when 0 then concat('{"NAZEV":"', n_name, '","KOD":', cast(600000 + n_nationkey div 8 as string), '}')
-    when 1 then concat('{"name":"', n_name, '","code":""}') when 2 then 'null' else concat('{"NAZEV":"","TEXT":"', n_name, '"}') end,
-  case when n_nationkey % 3 = 1 then concat(',"id":"f', cast(n_nationkey as string), '"') else '' end, ',"geometry":',
-  case when n_nationkey % 7 = 6 then 'null'
-    when n_nationkey % 2 = 0 then '{"type":"Polygon","coordinates":[[[14,50],[15,50],[15,51],[14,50]]]}'
+  case k % 4 when 0 then concat('{"NAZEV":"', s_name, '","KOD":', cast(600000 + k div 8 as string), '}')
+    when 1 then concat('{"name":"', s_name, '","code":""}') when 2 then 'null' else concat('{"NAZEV":"","TEXT":"', s_name, '"}') end,
+  case when k % 3 = 1 then concat(',"id":"f', cast(k as string), '"') else '' end, ',"geometry":',
+  case when k % 7 = 6 then 'null'
+    when k % 2 = 0 then '{"type":"Polygon","coordinates":[[[14,50],[15,50],[15,51],[14,50]]]}'
     else '{"type":"MultiPolygon","coordinates":[[[[14,50],[15,50],[15,51],[14,50]]],[[[16,50],[17,50],[17,51],[16,50]]]]}' end, '}') as f"""
 block(
     "feature",
-    """SELECT *, CASE k % 4 WHEN 2 THEN 'r-' || CAST(k AS VARCHAR) ELSE n_name END AS name,
+    """SELECT *, CASE k % 4 WHEN 2 THEN 'r-' || CAST(index AS VARCHAR) ELSE s_name END AS name,
     CASE k % 4 WHEN 0 THEN CAST(600000 + k // 8 AS VARCHAR) END AS given,
     CASE WHEN k % 3 = 1 THEN 'f' || CAST(k AS VARCHAR) END AS fid
-  FROM (SELECT n_nationkey AS k, n_name FROM nation) WHERE k % 7 <> 6""",
+  FROM (SELECT s_suppkey AS k, s_name,
+          row_number() OVER (PARTITION BY s_suppkey // 50 ORDER BY s_suppkey) - 1 AS index FROM supplier)
+  WHERE k % 7 <> 6""",
 )
 
 
@@ -457,24 +463,24 @@ block(
     "load_areas",
     """SELECT code, arg_max(name, k) AS name, arg_max(CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END, k) AS polygons,
          'obec' AS kind
-       FROM (SELECT *, coalesce(given, fid, 'r:' || name || ':' || CAST(k AS VARCHAR)) AS code FROM feature)
+       FROM (SELECT *, coalesce(given, fid, 'r:' || name || ':' || CAST(index AS VARCHAR)) AS code FROM feature)
        GROUP BY code""",
 )
 def _(spark, sf):
-    """A FeatureCollection written to a file, one feature per nation, and loaded."""
+    """Feature collections of 50 suppliers each, written to files and loaded."""
     path = scratch_path(spark, "boundaries")
-    features = X.table(spark, sf, "nation").selectExpr("n_nationkey", GEOJSON)
-    text = features.agg(
+    features = X.table(spark, sf, "supplier").selectExpr(
+        "s_suppkey as k", "s_name"
+    ).selectExpr("k", "lpad(cast(k div 50 as string), 8, '0') as chunk", GEOJSON)
+    collections = features.groupBy("chunk").agg(
         F.concat(
             F.lit('{"type":"FeatureCollection","features":['),
             F.array_join(
-                F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "f"))), lambda e: e["f"]),
-                ",",
+                F.transform(F.sort_array(F.collect_list(F.struct("k", "f"))), lambda e: e["f"]), ","
             ),
             F.lit("]}"),
         ).alias("value")
     )
-    text.coalesce(1).write.text(path)
+    collections.write.partitionBy("chunk").text(path)
     loaded = load_areas(spark, path, kind="obec", region="r")
     return loaded.select("code", "name", F.size("rings").alias("polygons"), "kind")
-
