@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listinglens.functions.geo import geodesic_m
-from listinglens.operators.hamming import similar_values
+from listinglens.operators.hamming import lookalike_groups, similar_values
 from listinglens.session import cut_lineage
 from listinglens.settings import DEFAULTS, Settings
 
@@ -47,16 +47,27 @@ def _outermost(spots: DataFrame) -> DataFrame:
     )
 
 
+def _merged(reaches: DataFrame, *keys: str) -> DataFrame:
+    """Outermost places over rows that carry outermost places themselves."""
+    return reaches.groupBy(*keys).agg(
+        *[F.max_by(side, _score(side, f"{side}.")).alias(side) for side in SIDES]
+    )
+
+
+def _crowd_reach(outermost: DataFrame, settings: Settings) -> DataFrame:
+    """Outermost places over a value and the near-copies it shares a group with."""
+    groups = cut_lineage(lookalike_groups(outermost, settings))
+    reach = _merged(groups.join(outermost, "dhash"), "part", "code")
+    around = groups.join(reach, ["part", "code"]).select("dhash", *SIDES)
+    return _merged(outermost.select("dhash", *SIDES).unionByName(around), "dhash")
+
+
 def _reach(pairs: DataFrame, outermost: DataFrame) -> DataFrame:
     """Outermost places over a value and all values similar to it."""
-    own = outermost.select(F.col("dhash").alias("a"), *SIDES)
-    others = pairs.join(outermost.withColumnRenamed("dhash", "b"), "b").select("a", *SIDES)
-    return (
-        own.unionByName(others)
-        .groupBy("a")
-        .agg(*[F.max_by(side, _score(side, f"{side}.")).alias(side) for side in SIDES])
-        .withColumnRenamed("a", "dhash")
+    others = pairs.join(outermost.withColumnRenamed("dhash", "b"), "b").select(
+        F.col("a").alias("dhash"), *SIDES
     )
+    return _merged(outermost.select("dhash", *SIDES).unionByName(others), "dhash")
 
 
 def _is_far(place: Column, settings: Settings) -> Column:
@@ -80,6 +91,13 @@ def _verdict(settings: Settings) -> Column:
     return F.when(proven, True).when(excluded, False)
 
 
+def _judged(rows: DataFrame, reach: DataFrame, settings: Settings) -> DataFrame:
+    """Photo rows with ``far``: settled true or false, or null when left open."""
+    return rows.join(reach, "dhash").select(
+        "listing_id", "position", "dhash", "lat", "lng", "cluster", _verdict(settings).alias("far")
+    )
+
+
 def far_shared_photos(
     listings: DataFrame, hashes: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
@@ -87,18 +105,20 @@ def far_shared_photos(
     shown = photo_places(listings, hashes)
     spots = cut_lineage(
         shown.groupBy("dhash", "lat", "lng").agg(
-            F.min("cluster").alias("lo"),
-            F.max("cluster").alias("hi"),
-            F.bool_or("is_active").alias("active"),
+            F.min("cluster").alias("lo"), F.max("cluster").alias("hi")
         )
     )
-    pairs = cut_lineage(similar_values(spots.filter("active"), spots, settings))
-    reach = _reach(pairs, _outermost(spots))
+    outermost = cut_lineage(_outermost(spots))
 
-    judged = shown.filter("is_active").join(reach, "dhash").select(
-        "listing_id", "position", "dhash", "lat", "lng", "cluster", _verdict(settings).alias("far")
-    )
-    proven = judged.filter("far").select("listing_id", "position")
+    # First pass: near-copies in groups. A far place found there is proof enough,
+    # so a crowd of near-copies spread over the map never reaches the pair search.
+    actives = shown.filter("is_active")
+    first = cut_lineage(_judged(actives, _crowd_reach(outermost, settings), settings))
+    left = first.filter(~F.coalesce("far", F.lit(False))).drop("far")
+    pairs = cut_lineage(similar_values(left.select("dhash"), spots, settings))
+
+    judged = _judged(left, _reach(pairs, outermost), settings)
+    proven = first.filter("far").unionByName(judged.filter("far")).select("listing_id", "position")
 
     open_rows = judged.filter(F.col("far").isNull())
     open_spots = open_rows.select("dhash", "lat", "lng", "cluster").distinct()
