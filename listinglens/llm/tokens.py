@@ -143,7 +143,7 @@ class WordEncoder:
             if word.isascii() and word[-1] in ".," and word[-2:-1].isalpha():
                 stem = word[:-1]
             cut[word] = (stem.lower() if stem.isascii() else stem, word[len(stem) :])
-        fresh = list({part for parts in cut.values() for part in parts} - self.plain.keys())
+        fresh = list({part for parts in cut.values() for part in parts if part not in self.plain})
         for start in range(0, len(fresh), 20_000):
             part = fresh[start : start + 20_000]
             for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -156,9 +156,10 @@ class WordEncoder:
         try:
             ids = b"".join([self.known[w] for w in words])
         except KeyError:
-            self._learn(set(words) - self.known.keys())
-            if not self.known.keys() >= set(words):  # it started anew
-                self._learn(set(words) - self.known.keys())
+            self._learn({w for w in words if w not in self.known})
+            fresh = {w for w in words if w not in self.known}
+            if fresh:  # it started anew
+                self._learn(fresh)
             ids = b"".join([self.known[w] for w in words])
         if end_id is not None:
             ids += np.array([end_id], "<u4").tobytes()

@@ -54,7 +54,7 @@ class WordRows:
     def of(self, texts: list[list[str]]) -> np.ndarray:
         """Row numbers of all words, one after another; valid until the next call."""
         words = [w for text in texts for w in text]
-        fresh = list(set(words) - self.place.keys())
+        fresh = [w for w in set(words) if w not in self.place]
         if fresh and len(self.place) + len(fresh) > self.most:
             self._clear()
             fresh = list(set(words))
