@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from listinglens.llm import exact, language, mixing, simhash, tokens  # noqa: F401
+from listinglens.llm import exact, language, mixing, simhash, tokens, toxicity  # noqa: F401
 from listinglens.llm.base import ORACLES, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run
