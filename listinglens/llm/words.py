@@ -43,13 +43,13 @@ class WordRows:
     bounds a worker's memory and changes no value.
     """
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, most: int):
-        self.compute, self.width, self.most = compute, width, most
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, most: int, dtype=np.float32):
+        self.compute, self.width, self.most, self.dtype = compute, width, most, dtype
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.width), np.float32)
+        self.rows = np.zeros((1024, self.width), self.dtype)
 
     def of(self, texts: list[list[str]]) -> np.ndarray:
         """Row numbers of all words, one after another; valid until the next call."""
