@@ -3,9 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from listinglens.llm import tokens
-from listinglens.llm.base import stored, table
+from listinglens.llm import decontamination, mixing, simhash, tokens, toxicity
+from listinglens.llm.base import held_out, stored, table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that score as toxic; learned from labelled ones of the input."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    return toxicity.drop_toxic(docs, toxicity.train(docs, labels))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates, the smallest doc_id's."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold an item of ``benchmark``."""
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a document comes out as often as it is used, or not at all."""
+    return mixing.take_mix(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +36,10 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
+    ("simhash", simhash_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
     ("tokens", token_stage),
 ]
 

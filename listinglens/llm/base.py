@@ -58,6 +58,22 @@ def broadcast_within(df: DataFrame, row_bytes: Column | int, limit: int = BROADC
     return F.broadcast(df) if size <= limit else df
 
 
+def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (one column, may repeat).
+
+    Rows alike in doc_id and text are reduced to one; only those whose id
+    repeats are compared.
+    """
+    counted = stored(ids.toDF("_keep").groupBy("_keep").agg(F.count(F.lit(1)).alias("_n")), "keep")
+    kept = docs.join(broadcast_within(counted, 16), docs["doc_id"].eqNullSafe(F.col("_keep")))
+    once = kept.filter("_n = 1").select(*docs.columns)
+    again = counted.filter("_n > 1")
+    if again.isEmpty():
+        return once
+    repeated = kept.filter("_n > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the ids that no model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
@@ -102,7 +118,7 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` whose function may use this package."""
     ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)

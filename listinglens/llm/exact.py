@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listinglens.llm.base import broadcast_within, query, stored, table
+from listinglens.llm.base import broadcast_within, keep_ids, query, stored, table
 
 PREFIX_CHARS = 64
 
@@ -75,10 +75,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows repeated with that very id are reduced to one of them.
     """
-    keep = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(
-        ["doc_id", "text"]
-    )
+    return keep_ids(docs, exact_groups(docs).filter("kept").select("doc_id"))
 
 
 @query(

@@ -154,8 +154,9 @@ def mix(
     ratio: float = RATIO,
     uses: int = MAX_USES,
     seed: int = SEED,
+    extra: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, sources, size, taken_for, copies, taken.
+    """One row per document: doc_id, sources, size, taken_for, copies, taken, ``extra``.
 
     ``docs`` has ``source`` or an array ``sources`` (of a document in several of
     them). size counts words, a null text has none. ``taken_for`` names the
@@ -171,6 +172,7 @@ def mix(
     sized = stored(
         docs.select(
             "doc_id",
+            *extra,
             sources.alias("sources"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_turn"),
@@ -232,7 +234,27 @@ def mix(
             ),
         )
         .withColumn("copies", F.size("taken_for"))
-        .select("doc_id", "sources", "size", "taken_for", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "sources", "size", "taken_for", "copies", (F.col("copies") * F.col("size")).alias("taken"), *extra)
+    )
+
+
+def take_mix(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix, each as often as it is used; columns as in ``docs``.
+
+    Rows alike in doc_id and text are used as often as they are all together.
+    """
+    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    mixed = mix(marked, extra=["_row"], **options)
+    used = stored(
+        mixed.groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n")).filter("_copies > 0"),
+        "mix-used",
+    )
+    if not used.filter("_n > 1").isEmpty():
+        marked = marked.dropDuplicates(["_row"])
+    return (
+        marked.join(broadcast_within(used, 20), "_row")
+        .withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        .select(*docs.columns)
     )
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listinglens.llm.base import broadcast_within, map_arrow, query, stored, table
+from listinglens.llm.base import broadcast_within, keep_ids, map_arrow, query, stored, table
 from listinglens.operators.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -202,17 +202,10 @@ def simhash_components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the smallest doc_id's.
 
-    Rows repeated with that very id are reduced to one; rows whose component
-    has only null ids stay as they are.
+    Rows alike in doc_id and text are reduced to one; rows of a component
+    without any id are one document and stay the same way.
     """
-    keep = (
-        simhash_components(docs)
-        .filter("doc_id <=> component_id")
-        .select(F.col("doc_id").alias("_keep"))
-        .distinct()
-    )
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    return keep_ids(docs, simhash_components(docs).filter("doc_id <=> component_id").select("doc_id"))
 
 
 @query("op10_simhash_components")

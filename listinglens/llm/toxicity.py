@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listinglens.llm.base import bounded_sample, broadcast_within, held_out, map_arrow, query, ship_package, table
@@ -348,11 +348,34 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     A text that is null or has no word scores 0. Without labels of both kinds
     every other text gets the share of label 1.
     """
-    ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed tables, some MB
     kind = docs.schema["doc_id"].dataType.simpleString()
+    scores = _text_scores(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, a, found in scores(batches):
+            part = batch.column("doc_id").slice(a, len(found))
+            yield pa.RecordBatch.from_arrays([part, pa.array(found)], names=["doc_id", "score"])
+
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``limit`` or more; all columns stay."""
+    scores = _text_scores(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, a, found in scores(batches):
+            yield batch.slice(a, len(found)).filter(pa.array(found < limit))
+
+    return map_arrow(docs, run, docs.schema)
+
+
+def _text_scores(spark: SparkSession, model: ToxicityModel):
+    """A function of batches: (batch, first row, scores of the rows from it on)."""
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(model)  # fixed tables, some MB
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
         own = shared.value
         table_ = WordRows(own.gates, 6 * HIDDEN, 300_000)
         for batch in batches:
@@ -360,11 +383,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             for a, b in in_groups(found, 200_000):
                 numbers = table_.of(found[a:b])
                 logits = own.logits(table_.rows, numbers, np.array([len(f) for f in found[a:b]]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(own.probability(logits))], names=["doc_id", "score"]
-                )
+                yield batch, a, own.probability(logits)
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double")
+    return scores
 
 
 @query("op5_toxicity")
