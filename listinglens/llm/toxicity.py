@@ -28,7 +28,8 @@ SIZES, BUCKETS = (3, 4, 5), 1 << 13
 #: Bounds of the training sample: documents of each label, their length, and
 #: the words that get an embedding of their own.
 TRAIN_PER_LABEL, TRAIN_CHARS, VOCABULARY = 2000, 200_000, 20_000
-EPOCHS, BATCH, RATE, SEED = 8, 256, 0.01, 7
+#: Steps of training; a batch is a sixteenth of the sample, within bounds.
+STEPS, LEAST_BATCH, MOST_BATCH, RATE, SEED = 128, 16, 256, 0.01, 7
 CHUNK = 4096
 
 
@@ -256,8 +257,10 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> ToxicityModel
         sums = np.add.reduceat(net.p["char"][own_grams], np.cumsum(n) - n, axis=0)
         return np.concatenate([net.p["word"][known[words]], sums / n[:, None]], axis=1), own_grams, n
 
-    for epoch in range(EPOCHS):
-        if epoch == EPOCHS // 2:  # the windows that this network finds worst
+    batch_size = min(MOST_BATCH, max(LEAST_BATCH, len(counts) // 16))
+    epochs = -(-STEPS * batch_size // len(counts))
+    for epoch in range(epochs):
+        if epoch == epochs // 2:  # the windows that this network finds worst
             now = ToxicityModel(vocabulary, net)
             rows = np.concatenate([now.gates(unique[a : a + 50_000]) for a in range(0, len(unique), 50_000)])
             scores = np.concatenate(
@@ -268,8 +271,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> ToxicityModel
             )
             bags = [np.union1d(a, b) for a, b in zip(bags, chosen(scores, 3), strict=True)]
         turn = rng.permutation(len(counts))
-        for a in range(0, len(turn), BATCH):
-            batch = turn[a : a + BATCH]
+        for a in range(0, len(turn), batch_size):
+            batch = turn[a : a + batch_size]
             windows = np.concatenate([bags[i] for i in batch])
             sizes = np.array([len(bags[i]) for i in batch])
             steps = int(length[windows].max())
