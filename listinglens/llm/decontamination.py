@@ -185,7 +185,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     ``benchmark`` has item_id and text. row_key is the hash of doc_id and text
     that tells rows with one doc_id apart; rows that are alike in both give one
     result. Null or blank texts hold nothing and items without words match
-    nothing; empty tables give no rows.
+    nothing; an item shorter than a window only matches texts of just its words,
+    one without an id is passed over; empty tables give no rows.
     """
     spark = docs.sparkSession
     id_kind = docs.schema["doc_id"].dataType.simpleString()
@@ -205,7 +206,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
                     names=["item_id", "mode", "hash", "windows"],
                 )
 
-    items = benchmark.select("item_id", "text").distinct()
+    items = benchmark.filter("item_id is not null").select("item_id", "text").distinct()
     index = stored(
         map_arrow(items, item_windows, f"item_id {item_kind}, mode long, hash long, windows long").distinct(), "leak-index"
     )
