@@ -81,7 +81,7 @@ def locality_label(district: Column, *parts: Column) -> Column:
 
 def disposition(code: Column) -> Column:
     """DISP_5_KK -> 5+kk, DISP_3_1 -> 3+1, DISP_5 -> 5, other -> null."""
-    parts = F.split(F.substring(code, 6, 1000), "_", -1)
+    parts = F.split(F.regexp_replace(code, "^DISP_", ""), "_", -1)
     rooms, extra = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     return F.when(
         code.startswith("DISP_") & (rooms != ""),

@@ -6,7 +6,9 @@ the class is spelled out.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -127,13 +129,17 @@ def _code_point(number: Column, whole: Column) -> Column:
     return F.when(valid, F.decode(F.unhex(hexed), "UTF-32")).otherwise(whole)
 
 
+def _hexadecimal(digits: Column) -> Column:
+    return F.conv(F.when(F.length(digits) <= 8, digits), 16, 10).try_cast("long")
+
+
 def decode_entities(text: Column) -> Column:
     """Hexadecimal, then decimal, then named entities; unknown names stay."""
-    # More than 8 hex or 10 decimal digits cannot be a code point.
+    # Leading zeros say nothing; more than 8 hexadecimal digits cannot be a code point.
     text = _substitute(
         text,
         "&#x([0-9a-fA-F]+);",
-        lambda g, w: _code_point(F.conv(F.when(F.length(g) <= 8, g), 16, 10).try_cast("long"), w),
+        lambda g, w: _code_point(_hexadecimal(F.regexp_replace(g, "^0+(?=.)", "")), w),
     )
     text = _substitute(
         text,
@@ -154,14 +160,18 @@ def clean_description(text: Column) -> Column:
     return empty_to_null(collapse_spaces(bare))
 
 
+@cache
 def _accent_pairs() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, by Unicode decomposition."""
+    """Letters that are a base letter with marks, and those base letters.
+
+    Over all of Unicode, by its decomposition; built once, on the driver.
+    """
     source, target = [], []
-    for point in range(0x00C0, 0x0250):
-        base = unicodedata.normalize("NFD", chr(point))[0]
-        if base != chr(point):
+    for point in range(0x00C0, sys.maxunicode + 1):
+        parts = unicodedata.normalize("NFD", chr(point))
+        if parts != chr(point) and all(unicodedata.category(p) == "Mn" for p in parts[1:]):
             source.append(chr(point))
-            target.append(base)
+            target.append(parts[0])
     return "".join(source), "".join(target)
 
 

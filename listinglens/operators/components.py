@@ -2,7 +2,8 @@
 
 (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014.) Every
 step is an aggregate (minimum neighbour) and an equi-join, so a hub vertex is
-combined before the shuffle. Lineage is cut by checkpoint each round.
+combined before the shuffle. Lineage is cut by checkpoint each round; rounds go
+on until nothing changes, about the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 
 from listinglens.session import cut_lineage
 
-MAX_ROUNDS = 60
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a vertex to its smallest neighbour."""
@@ -56,12 +55,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         F.greatest("a_id", "b_id").alias("u"), F.least("a_id", "b_id").alias("v")
     ).filter("u <> v").distinct()
     star = cut_lineage(star)
-    for _ in range(MAX_ROUNDS):
-        if _is_star_forest(star):
-            break
+    while not _is_star_forest(star):
         star = cut_lineage(_small_star(_large_star(star)))
-    else:
-        raise RuntimeError("components did not settle")
     return vertices.select("id").join(
         star.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left"
     ).select("id", F.coalesce("component", "id").alias("component"))

@@ -281,6 +281,11 @@ def with_status(cards: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+def needs_proximity(filters: FeedFilters) -> bool:
+    """Whether a filter or the sort looks at what only the neighbours tell."""
+    return bool(filters.near_train or filters.max_prague_km is not None or filters.sort in ("train", "prague"))
+
+
 def get_clusters(
     listings: DataFrame,
     clusters: DataFrame,
@@ -289,18 +294,18 @@ def get_clusters(
     filters: FeedFilters,
     run_ts: Column,
     settings: Settings = DEFAULTS,
-    exact: bool = False,
+    exact: bool = True,
 ) -> DataFrame:
     """One feed page of cluster cards, ordered by ``position``.
 
-    By default the proximity filters and sorts work on the page left by the
-    limit; ``exact=True`` applies them to all matching clusters first.
+    Proximity filters and sorts work on all matching clusters; ``exact=False``
+    applies them to the page left by the limit only, as the original does.
     """
     wanted = clusters
     if filters.sources:
         wanted = with_source_member(clusters, listings, filters.sources)
     cards = _base_cards(wanted, listings, filter_conditions(filters, run_ts, settings), run_ts, settings)
-    if exact:
+    if exact and needs_proximity(filters):
         # Points are read by both nearest-neighbour searches: keep the cards once.
         located = _with_proximity(cut_lineage(cards), stations, places, settings)
         cards = _proximity_filter(located, filters, settings)
@@ -326,7 +331,7 @@ def get_clusters_by_id(
     """Cards of given cluster ids, newest first, whatever their state or the filters."""
     wanted = clusters.join(ids.select("cluster_id").distinct(), "cluster_id", "left_semi")
     cards = cut_lineage(_base_cards(wanted, listings, F.lit(True), run_ts, settings))
-    cards = _with_proximity(cards, stations, places, settings)
+    cards = nest_members(_with_proximity(cards, stations, places, settings), listings)
     return with_status(cards, settings).orderBy(*feed_order("newest"))
 
 

@@ -12,10 +12,12 @@ from listinglens.settings import DEFAULTS, Settings
 def pending_images(
     listings: DataFrame, hashes: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """First photos of active listings that have no hash at all."""
+    """Photos of active listings that have no hash at all, up to the limit set."""
+    limit = settings.max_images_per_listing
+    photos = F.slice("photos", 1, limit) if limit else F.col("photos")
     due = (
         listings.filter(F.col("is_active") & (F.size("photos") > 0))
-        .select("id", F.slice("photos", 1, settings.max_images_per_listing).alias("photos"))
+        .select("id", photos.alias("photos"))
         .join(hashes.select(F.col("listing_id").alias("id")), "id", "left_anti")
     )
     return due.select(
@@ -24,10 +26,17 @@ def pending_images(
 
 
 def hash_images(rasters: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Hash rows of readable rasters; (listing, position) pairs already stored are kept."""
+    """Hash rows of readable rasters, one for each (listing, position).
+
+    Of several rasters of one position that of the lowest url counts; pairs
+    already stored are kept as they are.
+    """
     hashed = rasters.select(
         "listing_id", "position", "url", dhash_from_pixels(F.col("px")).alias("dhash")
     ).filter(F.col("dhash").isNotNull())
+    hashed = hashed.groupBy("listing_id", "position").agg(
+        F.min(F.struct("url", "dhash")).alias("first")
+    ).select("listing_id", "position", "first.url", "first.dhash")
     if existing is None:
         return hashed
     return hashed.join(existing.select("listing_id", "position"), ["listing_id", "position"], "left_anti")

@@ -14,11 +14,11 @@ from listinglens.settings import DEFAULTS, Settings
 
 
 def price_metrics(listings: DataFrame) -> DataFrame:
-    """Price per usable and per land square metre."""
+    """Price per usable and per land square metre; null where it is no integer."""
     return listings.withColumns(
         {
-            "price_per_usable_m2": price_per_m2(F.col("price"), F.col("usable_area_m2")).cast("int"),
-            "price_per_land_m2": price_per_m2(F.col("price"), F.col("land_area_m2")).cast("int"),
+            "price_per_usable_m2": price_per_m2(F.col("price"), F.col("usable_area_m2")).try_cast("int"),
+            "price_per_land_m2": price_per_m2(F.col("price"), F.col("land_area_m2")).try_cast("int"),
         }
     )
 

@@ -122,7 +122,7 @@ class Nightly:
         return score_summary(self.table("scored", LISTINGS).filter("is_active"), self.settings)
 
     def feed(
-        self, filters: feed_ops.FeedFilters, stations: DataFrame, places: DataFrame, exact: bool = False
+        self, filters: feed_ops.FeedFilters, stations: DataFrame, places: DataFrame, exact: bool = True
     ) -> DataFrame:
         """One feed page over the newest scored tables."""
         return feed_ops.get_clusters(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,11 +120,15 @@ FEED_MARKS = _struct(user_id=LONG, origin=TEXT, explicit=BOOL, seen_at=TIME)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select ``schema``'s columns in order, adding typed nulls for absent ones."""
+    """Select ``schema``'s columns in order, adding typed nulls for absent ones.
+
+    A number that its column cannot hold becomes null; the row stays.
+    """
     have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema
-        ]
-    )
+
+    def typed(f: T.StructField) -> Column:
+        value = F.col(f.name) if f.name in have else F.lit(None)
+        whole = isinstance(f.dataType, (T.IntegerType, T.LongType))
+        return value.try_cast(f.dataType) if whole else value.cast(f.dataType)
+
+    return df.select(*[typed(f).alias(f.name) for f in schema])

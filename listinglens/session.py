@@ -16,6 +16,8 @@ def build_session(app: str = "listinglens", master: str | None = None, **conf: s
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Checkpoint files go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in options.items():
@@ -27,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where neither that
-    setting nor a checkpoint folder exists (tests, a laptop) is one made here.
+    setting nor a checkpoint folder exists (tests, a laptop) is one made here;
+    on a cluster that would be a folder that only the driver sees, so it raises.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = context.getCheckpointDir()
     if not current:
+        if not context.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         current = tempfile.mkdtemp(prefix="spark-listinglens-")
         context.setCheckpointDir(current)
     return current

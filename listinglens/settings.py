@@ -34,8 +34,8 @@ class Settings:
     suspicious_score: int = 30
     brand_new_days: int = 3
     min_drop_pct: float = 3.0
-    max_images_per_listing: int = 8
-    max_pages: int = 40
+    #: Photos of a listing that are kept and hashed; None for all of them.
+    max_images_per_listing: int | None = None
     per_page: int = 100
     feed_window_hours: int = 48
     feed_limit: int = 500

@@ -7,6 +7,7 @@ null; HTML bodies are read with bounded patterns.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -464,18 +465,24 @@ def page_stats(pages: DataFrame) -> DataFrame:
 
 
 def run_completeness(
-    stats: DataFrame, settings: Settings = DEFAULTS, strict: bool = False
+    stats: DataFrame,
+    settings: Settings = DEFAULTS,
+    strict: bool = False,
+    expected: Sequence[tuple[str, str]] = (),
 ) -> DataFrame:
     """(run_id, source, completed): did the listing pass reach the end of its results?
 
     A region of A is done at an empty page or when its pages cover the total; B
     at an empty page or when as many adverts as the total came; C at an empty
-    page. A failed page makes the pass incomplete; ``strict=True`` keeps the
-    original rule for C, where a failed page counts as the end.
+    page. A failed page makes the pass incomplete, and so does a page that never
+    landed before the last one, or an ``expected`` (source, region) of which no
+    page landed; ``strict=True`` keeps the original rule for C, where a failed
+    page counts as the end.
     """
     per_region = stats.groupBy("run_id", "source", "region").agg(
         F.max_by(F.struct("page_no", "n", "total"), "page_no").alias("last"),
         F.sum("n").alias("offset"),
+        F.countDistinct("page_no").alias("pages"),
         F.bool_or(F.coalesce("failed", F.lit(False))).alias("failed"),
     )
     empty = F.coalesce(F.col("last.n"), F.lit(0)) == 0
@@ -487,13 +494,19 @@ def run_completeness(
         .when(F.col("source") == PORTAL_B.name, empty | (F.col("offset") >= F.col("last.total")))
         .otherwise(empty)
     )
-    sound = ~F.col("failed")
+    whole = F.col("pages") == F.col("last.page_no")
+    sound = ~F.col("failed") & whole
     if strict:
-        done = F.when(F.col("source") == PORTAL_C.name, F.col("failed") | ended).otherwise(
-            sound & ended
-        )
+        done = F.when(
+            F.col("source") == PORTAL_C.name, whole & (F.col("failed") | ended)
+        ).otherwise(sound & ended)
     else:
         done = sound & ended
-    return per_region.groupBy("run_id", "source").agg(
-        F.bool_and(F.coalesce(done, F.lit(False))).alias("completed")
-    )
+    place = ["run_id", "source", "region"]
+    regions = per_region.select(*place, F.coalesce(done, F.lit(False)).alias("done"))
+    if expected:
+        wanted = stats.sparkSession.createDataFrame(list(expected), "source string, region string")
+        due = regions.select("run_id", "source").distinct().join(F.broadcast(wanted), "source")
+        absent = due.join(regions, place, "left_anti").select(*place, F.lit(False).alias("done"))
+        regions = regions.unionByName(absent)
+    return regions.groupBy("run_id", "source").agg(F.bool_and("done").alias("completed"))

@@ -34,6 +34,8 @@ def test_decode_entities(spark):
         "x&nbsp;y": "x y",
         "&#x1F600;": "😀",
         "&#x110000;": "&#x110000;",
+        "&#x0000000041;&#0000000000065;&#x0;": "AA\0",
+        "&#x123456789;": "&#x123456789;",
         "none": "none",
         "&;&#;": "&;&#;",
     }

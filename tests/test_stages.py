@@ -65,13 +65,62 @@ def test_page_cap_is_incomplete(spark):
         [
             (1, "sreality", "10", 40, False, 100, 5000),
             (1, "sreality", "11", 3, False, 10, 210),
-            (2, "sreality", "10", 50, False, 100, 5000),
+            *[(2, "sreality", "10", p, False, 100, 5000) for p in range(1, 51)],
+            # The last page came, the second never landed.
+            (3, "sreality", "10", 1, False, 100, 300),
+            (3, "sreality", "10", 3, False, 100, 300),
             (1, "bezrealitky", "all", 2, False, 0, 900),
         ],
         "run_id long, source string, region string, page_no int, failed boolean, n long, total long",
     )
     got = {(r["run_id"], r["source"]): r["completed"] for r in run_completeness(stats).collect()}
-    assert got == {(1, "sreality"): False, (2, "sreality"): True, (1, "bezrealitky"): True}
+    assert got == {
+        (1, "sreality"): False,
+        (2, "sreality"): True,
+        (3, "sreality"): False,
+        (1, "bezrealitky"): False,
+    }
+
+
+def test_absent_region_is_incomplete(spark):
+    stats = spark.createDataFrame(
+        [(1, "sreality", "10", 1, False, 7, 7), (1, "bezrealitky", "all", 1, False, 3, 3)],
+        "run_id long, source string, region string, page_no int, failed boolean, n long, total long",
+    )
+    wanted = [("sreality", "10"), ("sreality", "11"), ("bezrealitky", "all")]
+    got = {r["source"]: r["completed"] for r in run_completeness(stats, expected=wanted).collect()}
+    assert got == {"sreality": False, "bezrealitky": True}
+
+
+def test_odd_numbers_do_not_stop_a_run(spark):
+    from listinglens.operators.scoring import price_metrics
+
+    df = spark.createDataFrame([(99_999_999_999_999, 1, 10), (900, 3, None)], "price long, usable_area_m2 int, land_area_m2 int")
+    rows = price_metrics(df).collect()
+    assert [r["price_per_usable_m2"] for r in rows] == [None, 300]
+
+
+def test_one_hash_for_each_position(spark):
+    from listinglens.operators.images import hash_images
+
+    px = list(range(72))
+    rows = [(1, 0, "b", px), (1, 0, "a", px[::-1]), (1, 1, "a", px)]
+    df = spark.createDataFrame(rows, "listing_id long, position int, url string, px array<int>")
+    got = sorted((r["listing_id"], r["position"], r["url"]) for r in hash_images(df).collect())
+    assert got == [(1, 0, "a"), (1, 1, "a")]
+
+
+def test_cluster_without_shared_folder_raises():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from listinglens.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(RuntimeError):
+        shared_dir(session)
 
 
 def test_scan_prunes_and_pushes_down(spark):

@@ -61,9 +61,10 @@ def feed_sql(
     limit: int = 500,
     post: str = "TRUE",
     final: str | None = None,
-    exact: bool = False,
+    exact: bool = True,
 ) -> str:
-    """A feed page in SQL; ``exact`` moves the proximity step before the limit."""
+    """A feed page in SQL; ``exact`` has the proximity step before the limit."""
+    exact = exact and (post != "TRUE" or final is not None)
     near = f"""SELECT f.*, st.nearest_station_name, st.nearest_station_km,
           CASE WHEN coalesce(cadastral_name, locality_text) LIKE 'Praha%' THEN 1357000 ELSE pl.pop END AS pop_shown,
           CASE WHEN f.lat IS NOT NULL THEN {CLASS_SQL} END AS class_shown
@@ -79,10 +80,11 @@ def feed_sql(
       FROM ({inner}) LEFT JOIN member_text USING (cluster_id)"""
 
 
+def member_line(m):
+    return F.concat_ws("|", m["source"], m["source_id"], F.coalesce(m["price"].cast("string"), F.lit("-")))
+
+
 def shown(cards):
-    member = lambda m: F.concat_ws(
-        "|", m["source"], m["source_id"], F.coalesce(m["price"].cast("string"), F.lit("-"))
-    )
     return cards.select(
         "position",
         "cluster_id",
@@ -106,7 +108,7 @@ def shown(cards):
         F.round("nearest_station_km", 6).alias("nearest_station_km"),
         "population",
         "settlement_class",
-        F.array_join(F.transform("members", member), ", ").alias("members"),
+        F.array_join(F.transform("members", member_line), ", ").alias("members"),
         "status_label",
         "status_tone",
         "marker_tone",
@@ -120,7 +122,7 @@ def homes_and_clusters(spark, sf):
     return homes, clusters
 
 
-def feed(spark, sf, filters, exact=False):
+def feed(spark, sf, filters, exact=True):
     homes, clusters = homes_and_clusters(spark, sf)
     return shown(
         Q.get_clusters(
@@ -136,7 +138,7 @@ def feed(spark, sf, filters, exact=False):
     )
 
 
-def feed_query(name: str, filters: Q.FeedFilters, exact: bool = False, **sql) -> None:
+def feed_query(name: str, filters: Q.FeedFilters, exact: bool = True, **sql) -> None:
     query(name, feed_sql(exact=exact, **sql))(lambda spark, sf: feed(spark, sf, filters, exact))
 
 
@@ -152,10 +154,16 @@ feed_query(
     post="nearest_station_km <= 1.5",
     final="nearest_station_km ASC NULLS LAST",
 )
+feed_query(
+    "feed_train_page",
+    Q.FeedFilters(sort="train", near_train=True),
+    exact=False,
+    post="nearest_station_km <= 1.5",
+    final="nearest_station_km ASC NULLS LAST",
+)
 feed_query(
     "feed_train_exact",
     Q.FeedFilters(sort="train", near_train=True, max_prague_km=40.0),
-    exact=True,
     post="nearest_station_km <= 1.5 AND prague_km <= 40",
     final="nearest_station_km ASC NULLS LAST",
 )
@@ -217,8 +225,8 @@ def _(spark, sf):
 @query(
     "clusters_by_id",
     """SELECT cluster_id, listing_id, price, round(prague_km, 6) AS prague_km,
-         nearest_station_name, status_tone
-       FROM card LEFT JOIN near_station USING (lat, lng)
+         nearest_station_name, status_tone, members
+       FROM card LEFT JOIN near_station USING (lat, lng) LEFT JOIN member_text USING (cluster_id)
        WHERE cluster_id IN (SELECT CAST(round(value * 7) AS BIGINT) FROM events)""",
 )
 def _(spark, sf):
@@ -235,6 +243,7 @@ def _(spark, sf):
         F.round("prague_km", 6).alias("prague_km"),
         "nearest_station_name",
         "status_tone",
+        F.array_join(F.transform("members", member_line), ", ").alias("members"),
     )
 
 

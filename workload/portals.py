@@ -359,7 +359,10 @@ def _(spark, sf):
 
 
 def broken_passes(spark, sf):
-    """Run 1 as landed; run 2 loses its last pages; run 3 ends C with an empty page, run 4 with a failed one."""
+    """Run 1 as landed; run 2 loses its last pages; run 3 ends C with an empty page, run 4 with a failed one.
+
+    Of run 5, which ends like run 3, the first pages never landed.
+    """
     stats = P.page_stats(all_pages(spark, sf))
     last = stats.groupBy("source", "region").agg(F.max("page_no").alias("_last"))
     cut = stats.join(last, ["source", "region"]).filter("page_no < _last").drop("_last")
@@ -377,6 +380,9 @@ def broken_passes(spark, sf):
         stats.withColumn("run_id", F.lit(4).cast("long")).unionByName(
             ends.withColumn("run_id", F.lit(4).cast("long"))
         ),
+        stats.filter("page_no > 1").withColumn("run_id", F.lit(5).cast("long")).unionByName(
+            ends.withColumns({"run_id": F.lit(5).cast("long"), "failed": F.lit(False)})
+        ),
     ]
     out = runs[0]
     for df in runs[1:]:
@@ -384,8 +390,8 @@ def broken_passes(spark, sf):
     return out
 
 
-COMPLETE_SQL = """SELECT run_id, source, CASE source WHEN 'ceskereality' THEN run_id = 3 {extra} ELSE run_id <> 2 END AS completed
-  FROM (SELECT unnest([1, 2, 3, 4]) AS run_id), (SELECT unnest(['sreality', 'bezrealitky', 'ceskereality']) AS source)
+COMPLETE_SQL = """SELECT run_id, source, CASE source WHEN 'ceskereality' THEN run_id = 3 {extra} ELSE run_id NOT IN (2, 5) END AS completed
+  FROM (SELECT unnest([1, 2, 3, 4, 5]) AS run_id), (SELECT unnest(['sreality', 'bezrealitky', 'ceskereality']) AS source)
   WHERE EXISTS (SELECT 1 FROM src)"""
 
 
