@@ -30,6 +30,7 @@ def size_band(usable_area: Column, current: Column | None = None) -> Column:
 
 def areas_from_name(name: Column) -> tuple[Column, Column]:
     """(usable, land) square metres read from an advert title."""
+    # How the portal writes areas.
     run = rf"([0-9][0-9{SPACE_SET}]*){SPACE}*"
     usable = F.regexp_extract(name, run + "m(?:²|2)", 1)
     land = F.regexp_extract(name, rf"(?i)pozemek{SPACE}*" + run + "m", 1)
@@ -118,6 +119,7 @@ def parse_alt(alt: Column) -> tuple[Column, Column]:
 
 def parse_gps(html: Column) -> tuple[Column, Column]:
     """(lat, lng) written in page markup with three or more decimals."""
+    # How the portal writes coordinates.
     gap, number = rf"[\"':={SPACE_SET}]{{1,4}}", r"([0-9]{1,2}\.[0-9]{3,})"
     lat = F.regexp_extract(html, rf"(?i)lat(?:itude)?{gap}{number}", 1)
     lng = F.regexp_extract(html, rf"(?i)(?:lng|lon)(?:gitude)?{gap}{number}", 1)

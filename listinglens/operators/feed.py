@@ -15,6 +15,7 @@ from listinglens.operators.skew import broadcast_if_small
 from listinglens.session import cut_lineage
 from listinglens.settings import DEFAULTS, Settings
 
+# What a request may name, and what a card shows of its listing.
 VERDICTS = ("deal", "fair", "overpriced")
 SORTS = ("newest", "priceAsc", "priceDesc", "bestDeal", "distance", "prague", "train")
 

@@ -49,7 +49,7 @@ def _kept(*reasons: Column) -> Column:
 
 
 def scam_reasons(run_ts: Column, settings: Settings = DEFAULTS) -> Column:
-    """Ordered scam reasons; needs a boolean column ``stolen``."""
+    """Ordered scam reasons; needs a boolean column ``stolen``. Codes and labels are fixed values."""
     phrase = red_phrase(F.col("description"))
     no_ico = (F.col("seller_type") == "private") & ~F.coalesce("has_ico", F.lit(False))
     age_days = (

@@ -417,6 +417,7 @@ block(
 )
 block("top_price", "SELECT listing_id AS id, max(price) AS max_price FROM history GROUP BY listing_id")
 
+# The red phrases and their labels, as the SQL sees them.
 FOLDED = "strip_accents(lower(description))"
 PHRASE_SQL = f"""CASE
       WHEN regexp_matches({FOLDED}, 'zaloh\\w* predem|platb\\w* predem|kauc\\w* predem|penize predem')

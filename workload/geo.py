@@ -50,10 +50,10 @@ block(
 
 @query(
     "haversine_km",
-    f"SELECT id, round({haversine_sql('lat', 'lng', 49.9, 14.9)}, 6) AS km FROM lst WHERE lat IS NOT NULL",
+    f"SELECT id, round({haversine_sql('lat', 'lng', 49.9, 14.9)}, 6) AS km FROM lst",
 )
 def _(spark, sf):
-    df = X.listings(spark, sf).filter("lat is not null")
+    df = X.listings(spark, sf)
     return df.select("id", F.round(haversine_km(F.col("lat"), F.col("lng"), 49.9, 14.9), 6).alias("km"))
 
 
@@ -70,20 +70,20 @@ def _(spark, sf):
 @query(
     "geodesic_to_anchor",
     f"""SELECT id, round({lambert_sql('lat', 'lng', '49.0', '17.0')}, 3) AS metres
-        FROM lst WHERE lat IS NOT NULL""",
+        FROM lst""",
 )
 def _(spark, sf):
-    df = X.listings(spark, sf).filter("lat is not null")
+    df = X.listings(spark, sf)
     return df.select("id", F.round(geodesic_m(F.col("lat"), F.col("lng"), 49.0, 17.0), 3).alias("metres"))
 
 
 @query(
     "geodesic_short",
     f"""SELECT a.id, round({midlat_sql('a.lat', 'a.lng', 'a.lat + 0.001', 'a.lng + 0.002')}, 3) AS metres
-        FROM lst a WHERE a.lat IS NOT NULL""",
+        FROM lst a""",
 )
 def _(spark, sf):
-    df = X.listings(spark, sf).filter("lat is not null")
+    df = X.listings(spark, sf)
     lat, lng = F.col("lat"), F.col("lng")
     return df.select("id", F.round(geodesic_m(lat, lng, lat + 0.001, lng + 0.002), 3).alias("metres"))
 

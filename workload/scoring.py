@@ -122,18 +122,14 @@ def _(spark, sf):
 @query(
     "bucket_percentile",
     """SELECT id, percentile, percentile_confidence, sample_size, bucket_key,
-         CASE WHEN percentile >= 80 THEN 'overpriced' WHEN percentile <= 25 THEN 'deal' ELSE 'fair' END
-           AS deal_verdict
-       FROM pct""",
+         CASE WHEN percentile >= 80 THEN 'overpriced' WHEN percentile <= 25 THEN 'deal'
+           WHEN percentile IS NOT NULL THEN 'fair' END AS deal_verdict
+       FROM metric LEFT JOIN pct USING (id) WHERE is_active""",
 )
 def _(spark, sf):
     active = scoring.price_metrics(X.bucketed(spark, sf).filter("is_active"))
-    return (
-        with_percentiles(active)
-        .filter("percentile is not null")
-        .select(
-            "id", "percentile", "percentile_confidence", "sample_size", "bucket_key", "deal_verdict"
-        )
+    return with_percentiles(active).select(
+        "id", "percentile", "percentile_confidence", "sample_size", "bucket_key", "deal_verdict"
     )
 
 
