@@ -17,17 +17,16 @@ def stamp(name: str):
 
 
 def triage_ops(spark, sf):
-    """Views mark seen, purchases shortlist, sign-ups delete, errors clear one state."""
+    """Views and clicks mark seen, purchases shortlist, sign-ups delete, errors clear one state."""
     return conform(
         X.table(spark, sf, "events")
-        .filter("event_type <> 'click'")
         .selectExpr(
             "user_id",
             "event_id as seq",
             "cast(ts as timestamp) as ts",
             "case event_type when 'signup' then 'delete' when 'error' then 'clear' else 'set' end as op",
             "case when event_type <> 'error' then event_id % 500 end as cluster_id",
-            "case event_type when 'view' then 'seen' when 'purchase' then 'shortlist' "
+            "case event_type when 'view' then 'seen' when 'click' then 'seen' when 'purchase' then 'shortlist' "
             "when 'error' then if(event_id % 2 = 0, 'seen', 'shortlist') end as state",
         ),
         TRIAGE_OPS,
@@ -39,9 +38,9 @@ block(
     """SELECT user_id, event_id AS seq, ts,
     CASE event_type WHEN 'signup' THEN 'delete' WHEN 'error' THEN 'clear' ELSE 'set' END AS op,
     CASE WHEN event_type <> 'error' THEN event_id % 500 END AS cluster_id,
-    CASE event_type WHEN 'view' THEN 'seen' WHEN 'purchase' THEN 'shortlist'
+    CASE event_type WHEN 'view' THEN 'seen' WHEN 'click' THEN 'seen' WHEN 'purchase' THEN 'shortlist'
       WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'seen' ELSE 'shortlist' END END AS state
-  FROM events WHERE event_type <> 'click'""",
+  FROM events""",
 )
 # Straight reading of the log: a set lives until the next operation on its row;
 # a clear of its state in between ends it.
@@ -77,7 +76,7 @@ block(
 block(
     "mark",
     """SELECT user_id, CASE WHEN event_id % 7 = 0 THEN 'device' ELSE 'server' END AS origin,
-    user_id % 2 = 0 AS explicit, ts AS seen_at FROM events WHERE event_type = 'click'""",
+    user_id % 2 = 0 AS explicit, ts AS seen_at FROM events""",
 )
 block(
     "merged_mark",
@@ -109,7 +108,6 @@ def user_feed(spark, sf):
 def feed_marks(spark, sf):
     return conform(
         X.table(spark, sf, "events")
-        .filter("event_type = 'click'")
         .selectExpr(
             "user_id",
             "if(event_id % 7 = 0, 'device', 'server') as origin",
