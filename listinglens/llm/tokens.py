@@ -27,14 +27,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listinglens.llm.base import map_arrow, query, table
+from listinglens.llm.words import runs
 from listinglens.session import scratch_path
 
 MAGIC = b"FWTS"
 HEADER = struct.Struct("<4sHHIQQ")
 BLOCK_IDS = 4096
 SHARD_IDS = 1 << 19
-#: Distinct words whose ids a Python worker keeps; then it starts anew.
-CACHED_WORDS = 600_000
+#: Distinct words whose ids a Python worker keeps, as written and folded; then it starts anew.
+CACHED_WORDS = 1_000_000
+#: Characters that are encoded together.
+GROUP_CHARS = 1_000_000
 END_ID = 2
 
 
@@ -132,10 +135,24 @@ class WordEncoder:
         self.tokenizer, self.cached_words = _tokenizer(path), cached_words
         self.known: dict[str, bytes] = {"": b""}
         self.plain: dict[str, bytes] = {"": b""}
+        # A special token is cut out before anything else, so words on its two
+        # sides are encoded apart, many of them in one call.
+        special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]
+        self.mark = special[0] if special else None
+
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        if self.mark and not any("<" in w for w in words):
+            number, token = self.mark
+            got = self.tokenizer.encode_batch_fast([token.content.join(words)], add_special_tokens=False)[0]
+            ids = np.array(got.ids, "<u4")
+            cuts = np.flatnonzero(ids == number)
+            if len(cuts) == len(words) - 1:
+                raw, edges = ids.tobytes(), cuts.tolist()
+                return [raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in edges)], [*edges, len(ids)], strict=True)]
+        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(g.ids, "<u4").tobytes() for g in got]
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) > self.cached_words:
-            self.known, self.plain = {"": b""}, {"": b""}
         # A stop after a letter starts a new piece; case is folded in any event.
         cut = {}
         for word in words:
@@ -146,24 +163,27 @@ class WordEncoder:
         fresh = list({part for parts in cut.values() for part in parts if part not in self.plain})
         for start in range(0, len(fresh), 20_000):
             part = fresh[start : start + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.plain[word] = np.array(got.ids, "<u4").tobytes()
+            self.plain.update(zip(part, self._pieces(part), strict=True))
         for word, (stem, tail) in cut.items():
             self.known[word] = self.plain[stem] + self.plain[tail]
 
     def encode(self, text: str, end_id: int | None = None) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            ids = b"".join([self.known[w] for w in words])
-        except KeyError:
-            self._learn({w for w in words if w not in self.known})
-            fresh = {w for w in words if w not in self.known}
-            if fresh:  # it started anew
-                self._learn(fresh)
-            ids = b"".join([self.known[w] for w in words])
-        if end_id is not None:
-            ids += np.array([end_id], "<u4").tobytes()
-        return np.frombuffer(ids, "<u4")
+        return self.encode_all([text], end_id)[0]
+
+    def encode_all(self, texts: list[str], end_id: int | None = None) -> list[np.ndarray]:
+        """Ids of each text; what is new in all of them is learned in one call."""
+        if len(self.known) > self.cached_words:
+            self.known = {"": b""}
+        if len(self.plain) > self.cached_words:
+            self.plain = {"": b""}
+        split, fresh = [t.replace("\n", " ").split(" ") for t in texts], set()
+        for words in split:
+            fresh.update(set(words).difference(self.known))
+        if fresh:
+            self._learn(fresh)
+        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        ids_of = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(ids_of, words)) + tail, "<u4") for words in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -219,14 +239,16 @@ def write_tokens(
 
         for batch in batches:
             kept = batch.schema.field("doc_id").type
-            for key, text, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part")), strict=True):
-                got = encoder.encode(text, end_id)
-                ids.append(key)
-                rows.append(got)
-                held += len(got)
-                if held >= shard_ids:
-                    yield close()
-                    ids, rows, held, seq = [], [], 0, seq + 1
+            keys, texts, parts = (batch.column(c).to_pylist() for c in ("doc_id", "text", "part"))
+            for a, b in runs([len(t) for t in texts], GROUP_CHARS):
+                part = parts[a]
+                for key, got in zip(keys[a:b], encoder.encode_all(texts[a:b], end_id), strict=True):
+                    ids.append(key)
+                    rows.append(got)
+                    held += len(got)
+                    if held >= shard_ids:
+                        yield close()
+                        ids, rows, held, seq = [], [], 0, seq + 1
         if rows:
             yield close()
 

@@ -16,10 +16,10 @@ def ngram_buckets(words: Sequence[str], sizes: Sequence[int], buckets: int) -> t
     than every size still has the gram of its marks.
     """
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     joined = "".join([f"\x02{w}\x03" for w in words])
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    owner = np.cumsum(codes == FIRST) - 1
+    owner = (np.cumsum(codes == FIRST) - 1).astype(np.int32)
     owners, found = [], []
     for size in sizes:
         if len(codes) < size:
@@ -32,7 +32,7 @@ def ngram_buckets(words: Sequence[str], sizes: Sequence[int], buckets: int) -> t
         value *= np.uint64(0xBF58476D1CE4E5B9)
         whole = owner[:count] == owner[size - 1 :]
         owners.append(owner[:count][whole])
-        found.append(((value >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)[whole])
+        found.append(((value >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)[whole])
     return np.concatenate(owners), np.concatenate(found)
 
 
@@ -69,13 +69,18 @@ class WordRows:
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
 
-def in_groups(texts: list[list[str]], words: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts with at most ``words`` words together, one text at least."""
+def runs(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs whose sizes add up to ``most`` at most, one item at least."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and held + len(text) > words:
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
             yield start, i
             start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def in_groups(texts: list[list[str]], words: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts with at most ``words`` words together, one text at least."""
+    return runs([len(text) for text in texts], words)
