@@ -2,8 +2,8 @@
 
 Areas are cut into grid cells once. Each (cell, area) keeps only the edges a
 ray from that cell can meet, so a listing is tested against a few edges. The
-cell index is joined by an equi-join; it is broadcast after its edges have been
-counted, which leaves the listings unshuffled.
+cell index is joined by an equi-join with the distinct places of the listings; it is
+broadcast only after its edges have been counted.
 """
 
 from __future__ import annotations

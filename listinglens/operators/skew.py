@@ -1,6 +1,6 @@
 """Building blocks that keep hot keys from landing in one task.
 
-* :func:`broadcast_if_small` hints a broadcast only after counting the side.
+* :func:`broadcast_if_small` hints a broadcast only after measuring the side.
 * :func:`chunked_rank` and :func:`nearest_non_null` are window functions split
   in two levels, so a partition key holding a third of all rows is still spread
   over its chunks; only one summary row per chunk meets in a single window.
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listinglens.settings import DEFAULTS
 
@@ -20,16 +21,31 @@ from listinglens.settings import DEFAULTS
 def broadcast_if_small(
     df: DataFrame, max_rows: int = DEFAULTS.broadcast_rows, weight: Column | None = None
 ) -> DataFrame:
-    """Hint a broadcast when ``df`` has at most ``max_rows`` rows.
+    """Hint a broadcast when ``df`` has at most ``max_rows`` rows and few bytes.
 
-    ``weight`` counts a row as several (array lengths). Beyond the bound the
+    ``weight`` counts a row as several (array lengths). Beyond either bound the
     frame comes back unhinted and the join shuffles both sides.
     """
     if weight is None:
-        size = df.limit(max_rows + 1).count()
+        some = df.limit(max_rows + 1)
+        size, width = some.agg(F.count("*"), F.sum(row_bytes(some))).first()
     else:
-        size = df.agg(F.sum(weight)).first()[0] or 0
-    return F.broadcast(df) if size <= max_rows else df
+        size, width = df.agg(F.sum(weight), F.sum(row_bytes(df))).first()
+    small = (size or 0) <= max_rows and (width or 0) <= DEFAULTS.broadcast_bytes
+    return F.broadcast(df) if small else df
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of ``df`` takes: its texts and nested values, 8 for each other."""
+    total = F.lit(16)
+    for f in df.schema:
+        if isinstance(f.dataType, T.StringType):
+            total += F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            total += F.coalesce(F.octet_length(F.to_json(F.col(f.name))), F.lit(0))
+        else:
+            total += F.lit(8)
+    return total.cast("long")
 
 
 def spread(df: DataFrame) -> DataFrame:

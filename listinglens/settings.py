@@ -48,6 +48,7 @@ class Settings:
 
     # Physical choices: they change the plan, never the result.
     broadcast_rows: int = 200_000
+    broadcast_bytes: int = 64 << 20
     hot_key_rows: int = 20_000
 
 
