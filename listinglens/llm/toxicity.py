@@ -196,24 +196,26 @@ def _inputs(rows: np.ndarray, numbers: np.ndarray, first: np.ndarray, length: np
 def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> ToxicityModel:
     """Train on labelled texts; a text counts by its highest-scoring window."""
     rng = np.random.default_rng(seed)
-    texts_words = [WORD.findall(t.lower()) for t in texts]
-    labels = np.asarray(labels, np.float32)
-    kept = [i for i, w in enumerate(texts_words) if w]
-    texts_words, labels = [texts_words[i] for i in kept], labels[kept]
+    # Texts as numbers of distinct words, and words in how many texts of each label.
+    number: dict[str, int] = {}
+    spoken, kept = [], []
+    for i, text in enumerate(texts):
+        some = np.array([number.setdefault(w, len(number)) for w in WORD.findall(text.lower())], np.int32)
+        if len(some):
+            spoken.append(some)
+            kept.append(i)
+    labels = np.asarray(labels, np.float32)[kept]
     if not kept or len(set(labels.tolist())) < 2:
         rate = float(labels.mean()) if kept else 0.0
         odds = np.log((rate + 1e-6) / (1 - rate + 1e-6))
         return ToxicityModel({}, Network(1, rng), 0.0, float(odds))
-    # Words in how many texts of each label: which get an embedding, and first odds.
-    seen: dict[str, list[int]] = {}
-    for words, label in zip(texts_words, labels, strict=True):
-        for w in set(words):
-            seen.setdefault(w, [0, 0])[int(label)] += 1
-    unique = list(seen)
-    number = {w: i for i, w in enumerate(unique)}
-    tally = np.array([seen[w] for w in unique], np.float64)
-    frequent = sorted((w for w in unique if sum(seen[w]) >= 5), key=lambda w: (-sum(seen[w]), w))[: VOCABULARY - 1]
-    vocabulary = {w: i + 1 for i, w in enumerate(frequent)}
+    unique = list(number)
+    tally = np.zeros((len(unique), 2))
+    for some, label in zip(spoken, labels, strict=True):
+        tally[np.unique(some), int(label)] += 1
+    often = tally.sum(axis=1)
+    frequent = sorted(np.flatnonzero(often >= 5).tolist(), key=lambda i: (-often[i], unique[i]))[: VOCABULARY - 1]
+    vocabulary = {unique[i]: at + 1 for at, i in enumerate(frequent)}
     share = np.array([(labels == 0).sum(), (labels == 1).sum()], np.float64)
     own = np.log((tally[:, 1] + 0.5) / share[1]) - np.log((tally[:, 0] + 0.5) / share[0])
     owner, bucket = ngram_buckets(unique, SIZES, BUCKETS)
@@ -222,8 +224,8 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> ToxicityModel
     gram_mean = np.bincount(owner, gram_odds[bucket], len(unique)) / np.bincount(owner, minlength=len(unique))
     odds = np.where(tally.sum(axis=1) >= 3, own, gram_mean)
 
-    counts = np.array([len(w) for w in texts_words])
-    numbers = np.array([number[w] for words in texts_words for w in words])
+    counts = np.array([len(w) for w in spoken])
+    numbers = np.concatenate(spoken)
     offset = np.cumsum(counts) - counts
     starts = [window_starts(int(c)) for c in counts]
     text_of = np.repeat(np.arange(len(counts)), [len(s) for s in starts])
@@ -237,14 +239,18 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> ToxicityModel
             for i, s in enumerate(starts)
         ]
 
-    at = np.minimum(first[:, None] + np.arange(WINDOW), (first + length - 1)[:, None])
-    by_odds = chosen(odds[numbers[at]].max(axis=1), 3)
+    parts = []
+    for a in range(0, len(first), CHUNK):
+        f, n = first[a : a + CHUNK, None], length[a : a + CHUNK, None]
+        parts.append(odds[numbers[np.minimum(f + np.arange(WINDOW), f + n - 1)]].max(axis=1))
+    by_odds = chosen(np.concatenate(parts), 3)
     bags = [np.union1d(b, first_window[i] + rng.integers(0, len(starts[i]), 2)) for i, b in enumerate(by_odds)]
 
     net = Network(len(vocabulary) + 1, rng)
     known = np.array([vocabulary.get(w, 0) for w in unique])
     order = np.argsort(owner, kind="stable")
     grams, gram_counts = bucket[order], np.bincount(owner, minlength=len(unique))
+    del order, owner, bucket
     gram_ends = np.cumsum(gram_counts)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
@@ -380,10 +386,10 @@ def _text_scores(spark: SparkSession, model: ToxicityModel):
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
         own = shared.value
-        table_ = WordRows(own.gates, 6 * HIDDEN, 300_000)
+        table_ = WordRows(own.gates, 6 * HIDDEN, 200_000)
         for batch in batches:
             found = [WORD.findall(t.lower()) if t else [] for t in batch.column("text").to_pylist()]
-            for a, b in in_groups(found, 200_000):
+            for a, b in in_groups(found, 100_000):
                 numbers = table_.of(found[a:b])
                 logits = own.logits(table_.rows, numbers, np.array([len(f) for f in found[a:b]]))
                 yield batch, a, own.probability(logits)
