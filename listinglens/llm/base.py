@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ ORACLES: dict[str, str] = {}
 
 #: Most bytes that are ever broadcast; above it a join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Rows that a Python worker gets at a time.
+BATCH_ROWS = 1000
 
 
 def query(name: str, sql: str | None = None):
@@ -47,6 +52,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind frames that :func:`stored` returned.
+
+    Also lets the driver collect what it no longer refers to, upon which Spark
+    drops the shuffle files of the finished steps.
+    """
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        for file in df.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    frames[0].sparkSession._jvm.System.gc()
+
+
 def broadcast_within(df: DataFrame, row_bytes: Column | int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of ``df`` if its measured bytes are at most ``limit``.
 
@@ -109,6 +129,8 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
+    # Rows are whole texts: few at a time keep a worker's memory bounded.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = Path(listinglens.__file__).parent
     target = Path(tempfile.mkdtemp(prefix="spark-package-")) / "listinglens.zip"
     with zipfile.ZipFile(target, "w") as packed:
@@ -118,7 +140,20 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` whose function may use this package."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)

@@ -75,7 +75,7 @@ class Templates:
 
     def __init__(self, window: int = WINDOW):
         self.window = window
-        self.known = WordRows(_describe, 2, 400_000, np.uint64)
+        self.known = WordRows(_describe, 2, 200_000, np.uint64)
 
     def words(self, found: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(code, text number, position among all tokens) of each template word.
@@ -223,7 +223,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = [TOKEN.findall(t) for t in texts]
-            for a, b in in_groups(found, 400_000):
+            for a, b in in_groups(found, 150_000):
                 both = [(*own.windows(code, text), text) for code, text, _ in own.words(found[a:b])]
                 hashes = np.concatenate([h for h, _, _ in both])
                 text = np.concatenate([t[f] for _, f, t in both])
