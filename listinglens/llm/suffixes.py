@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listinglens.llm.base import broadcast_within, map_arrow, query, stored, table
+from listinglens.llm.base import broadcast_within, discard, map_arrow, query, stored, table
+from listinglens.llm.words import runs
 
 LENGTH = 400
 FEATURE = 100
 WIDTHS = (50, 10, 1)
-GROUP_BYTES = 4 << 20
+#: Texts worked off together in a task, and bytes looked at in one go.
+GROUP_BYTES, STRETCH = 1 << 20, 1 << 20
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,33 +55,32 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int, feature: int) -> np.ndarray:
-    """Places in ``data`` (texts one after another, up to ``ends``) that are anchors."""
-    if len(data) < length:
-        return np.zeros(0, np.int64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    gram = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1)).copy().view("<u8").reshape(-1)
-    gram *= np.uint64(0x9E3779B97F4A7C15)
-    gram ^= gram >> np.uint64(32)
-    gram *= np.uint64(0xD6E8FEB86659FD93)
-    # Lowest hash, then leftmost: the low half holds the place.
-    gram &= np.uint64(0xFFFFFFFF00000000)
-    gram |= np.arange(len(data), dtype=np.uint64)
-    lowest = sliding_minimum(gram, length - feature + 1)[: len(data) - length + 1]
-    starts = np.concatenate([[0], ends[:-1]])
-    sizes = np.maximum(ends - starts - length + 1, 0)
-    inside = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    return np.unique((lowest[inside] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-
-
-def _groups(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
-    for i, size in enumerate(sizes.tolist()):
-        if i > start and held + size > GROUP_BYTES:
-            yield start, i
-            start, held = i, 0
-        held += size
-    if start < len(sizes):
-        yield start, len(sizes)
+    """Places in ``data`` (texts one after another, up to ``ends``) that are anchors.
+
+    Worked off in stretches of STRETCH bytes, however long a text is.
+    """
+    found = []
+    for start in range(0, max(0, len(data) - length + 1), STRETCH):
+        part = data[start : start + STRETCH + length - 1]
+        padded = np.concatenate([part, np.zeros(8, np.uint8)])
+        gram = np.lib.stride_tricks.as_strided(padded, (len(part), 8), (1, 1)).copy().view("<u8").reshape(-1)
+        gram *= np.uint64(0x9E3779B97F4A7C15)
+        gram ^= gram >> np.uint64(32)
+        gram *= np.uint64(0xD6E8FEB86659FD93)
+        # Lowest hash, then leftmost: the low half holds the place.
+        gram &= np.uint64(0xFFFFFFFF00000000)
+        gram |= np.arange(len(part), dtype=np.uint64)
+        count = len(part) - length + 1
+        lowest = sliding_minimum(gram, length - feature + 1)[:count]
+        inside = np.ones(count, bool)  # windows that end in the text they start in
+        first = np.searchsorted(ends, start, side="right")
+        for end in ends[first : np.searchsorted(ends, start + len(part)) + 1].tolist():
+            inside[max(0, end - length + 1 - start) : max(0, end - start)] = False
+        lowest = lowest[inside]
+        if len(lowest):
+            change = np.concatenate([[True], lowest[1:] != lowest[:-1]])
+            found.append(start + np.unique((lowest[change] & np.uint64(0xFFFFFFFF)).astype(np.int64)))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 def _signed(values: list[int]) -> np.ndarray:
@@ -125,7 +126,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, feature: int = FEATURE
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             texts = batch.column("data").to_pylist()
-            for a, b in _groups(np.array([len(t) for t in texts])):
+            for a, b in runs([len(t) for t in texts], GROUP_BYTES):
                 data = b"".join(texts[a:b])
                 ends = np.cumsum([len(t) for t in texts[a:b]])
                 found = anchors(np.frombuffer(data, np.uint8), ends, length, feature)
@@ -138,11 +139,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, feature: int = FEATURE
                 at, lf, rt = found.tolist(), left.tolist(), right.tolist()
                 features = [digest(data[p : p + feature]) for p in at]
                 spans = [digest(data[p - x : p + y], x << 16 | y) for p, x, y in zip(at, lf, rt, strict=True)]
-                part = batch.take(pa.array(a + owner))
+                rows_of = pa.array(a + owner)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"),
-                        part.column("key"),
+                        batch.column("doc_id").take(rows_of),
+                        batch.column("key").take(rows_of),
                         pa.array(found - begin),
                         pa.array(left),
                         pa.array(right),
@@ -168,23 +169,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, feature: int = FEATURE
         "suffix-spans",
     )
     twice = by_span.filter("n > 1")
-    covered = [
-        found.join(broadcast_within(twice.select("feature", "span"), 24), ["feature", "span"]).select(
-            "doc_id", "key", (F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + F.col("right")).alias("b")
-        )
-    ]
+    whole = found.join(broadcast_within(twice.select("feature", "span"), 24), ["feature", "span"]).select(
+        "doc_id", "key", (F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + F.col("right")).alias("b")
+    )
+    covered = [stored(whole, "suffix-covered")]
     mixed = by_span.groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter(
         "k > 1 and least = 1"
     )
     members = by_span.join(mixed.select("feature"), "feature", "left_semi").select(
-        "feature", "rep.*", (F.col("n") == 1).alias("open")
+        "rep.*", (F.col("n") == 1).alias("open")
     )
     # The surroundings of what is left, cut out of the texts once.
     wanted = stored(
-        members.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "feature", "open")).alias("places")),
+        members.groupBy("doc_id", "key").agg(F.collect_list(2 * F.col("pos") + F.col("open").cast("long")).alias("places")),
         "suffix-members",
     )
-    size = 24 + 24 * F.size("places")
+    discard(found, by_span)
+    size = 24 + 8 * F.size("places")
     around = rows.join(
         broadcast_within(wanted.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "places"), size),
         F.expr("doc_id <=> d AND key = k"),
@@ -192,35 +193,38 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, feature: int = FEATURE
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, at, left, features, opens, data = [], [], [], [], [], []
+            row, at, left, opens, data = [], [], [], [], []
             places = batch.column("places").to_pylist()
             for i, text in enumerate(batch.column("data").to_pylist()):
                 for p in places[i]:
-                    pos = p["pos"]
+                    pos, open_ = p >> 1, p & 1
                     begin = max(0, pos - reach)
                     row.append(i)
                     at.append(pos)
                     left.append(pos - begin)
-                    features.append(p["feature"])
-                    opens.append(p["open"])
+                    opens.append(open_)
                     data.append(text[begin : pos + length])
-            part = batch.take(pa.array(row, pa.int64()))
+            rows_of = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("key"), pa.array(at, pa.int64()), pa.array(left, pa.int64())]
-                + [pa.array(features, pa.int64()), pa.array(opens, pa.bool_()), pa.array(data, pa.binary())],
-                names=["doc_id", "key", "pos", "left", "feature", "open", "data"],
+                [batch.column(c).take(rows_of) for c in ("doc_id", "key")]
+                + [pa.array(x, pa.int64()) for x in (at, left, opens)]
+                + [pa.array(data, pa.binary())],
+                names=["doc_id", "key", "pos", "left", "open", "data"],
             )
 
     near = stored(
         map_arrow(
             around.select("doc_id", "key", "data", "places"),
             cut_out,
-            f"doc_id {kind}, key long, pos long, left long, feature long, open boolean, data binary",
+            f"doc_id {kind}, key long, pos long, left long, open long, data binary",
         ).withColumn("uid", uid),
         "suffix-near",
     )
+    discard(wanted)
+    # A class and whether it is open travel as one number.
     classes = F.sequence(F.lit(0), F.lit(reach // low_class))
-    todo = near.select("*", F.transform(classes, lambda c: F.struct(c.alias("cls"), F.col("open").alias("open"))).alias("classes"))
+    todo = near.select("uid", "left", "data", F.transform(classes, lambda c: 2 * c + F.col("open")).alias("classes"))
+    anchor = near.select("uid", "doc_id", "key", "pos")
 
     for depth, width in enumerate(widths):
         ways = _Spans(length, feature, width)
@@ -228,89 +232,87 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, feature: int = FEATURE
         def digits(batches: Iterator[pa.RecordBatch], ways=ways) -> Iterator[pa.RecordBatch]:
             digest = xxhash.xxh3_64_intdigest
             for batch in batches:
-                row, out = [], []
+                row, opens, digit, span, lows, highs = [], [], [], [], [], []
                 lists, lefts = batch.column("classes").to_pylist(), batch.column("left").to_pylist()
                 for i, data in enumerate(batch.column("data").to_pylist()):
                     left = lefts[i]
                     for c in lists[i]:
-                        got = ways.of(c["cls"], left, len(data) - left)
+                        cls = c >> 1
+                        got = ways.of(cls, left, len(data) - left)
                         if got:
                             first, last, df, dt, sf, st = got
                             row.append(i)
-                            digit = digest(data[left + df : left + dt], c["cls"])
-                            span = digest(data[left + sf : left + st], first << 16 | last)
-                            out.append((c["cls"], c["open"], digit, span, first, last))
-                part = batch.take(pa.array(row, pa.int64()))
-                cls, opens, digit, span, first, last = zip(*out, strict=True) if out else ((),) * 6
+                            opens.append(c & 1)
+                            digit.append(digest(data[left + df : left + dt], cls))
+                            span.append(digest(data[left + sf : left + st], first << 16 | last))
+                            lows.append(first)
+                            highs.append(last)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in ("doc_id", "key", "pos", "feature", "uid")]
-                    + [
-                        pa.array(cls, pa.int32()),
-                        pa.array(opens, pa.bool_()),
-                        pa.array(_signed(list(digit))),
-                        pa.array(_signed(list(span))),
-                        pa.array(first, pa.int64()),
-                        pa.array(last, pa.int64()),
-                    ],
-                    names=["doc_id", "key", "pos", "feature", "uid", "cls", "open", "digit", "span", "first", "last"],
+                    [batch.column("uid").take(pa.array(row, pa.int64()))]
+                    + [pa.array(_signed(x)) for x in (digit, span)]
+                    + [pa.array(x, pa.int32()) for x in (opens, lows, highs)],
+                    names=["uid", "digit", "span", "open", "first", "last"],
                 )
 
         named = stored(
             map_arrow(
-                todo.select("doc_id", "key", "pos", "left", "feature", "uid", "data", "classes"),
+                todo.select("uid", "left", "data", "classes"),
                 digits,
-                f"doc_id {kind}, key long, pos long, feature long, uid long, cls int, open boolean, digit long, "
-                "span long, first long, last long",
+                "uid long, digit long, span long, open int, first int, last int",
             ),
             f"suffix-pass{depth + 1}",
         )
-        group = ["feature", "cls", "digit"]
-        spans = named.groupBy(*group, "span").agg(
-            F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.max("open").alias("open")
+        # The digit was hashed with its class, and holds the feature.
+        spans = stored(
+            named.groupBy("digit", "span").agg(
+                F.count(F.lit(1)).alias("n"),
+                F.min(F.struct("uid", "first")).alias("rep"),
+                F.max("open").alias("open"),
+            ),
+            f"suffix-spans{depth + 1}",
         )
-        if depth + 1 < len(widths):
-            spans = stored(spans, f"suffix-spans{depth + 1}")
-        settled = spans.filter("n > 1 and open").select(*group, "span")
-        covered.append(
-            named.filter("open")
-            .join(broadcast_within(settled, 36), [*group, "span"])
-            .select(
-                "doc_id",
-                "key",
-                (F.col("pos") - F.col("last")).alias("a"),
-                (F.col("pos") - F.col("first") + length).alias("b"),
-            )
+        settled = spans.filter("n > 1 and open = 1").select("digit", "span")
+        done = (
+            named.filter("open = 1")
+            .join(broadcast_within(settled, 24), ["digit", "span"])
+            .groupBy("uid")
+            .agg(F.collect_list(F.struct("first", "last")).alias("windows"))  # at most the classes
         )
-        if depth + 1 == len(widths):
-            break
-        undecided = (
-            spans.groupBy(*group)
-            .agg(F.count(F.lit(1)).alias("k"), F.max(F.expr("n = 1 and open")).alias("need"))
-            .filter("k > 1 and need")
+        part = anchor.join(broadcast_within(done, 16 + 8 * F.size("windows")), "uid").select(
+            "doc_id", "key", "pos", F.explode("windows").alias("w")
         )
-        fine = widths[depth + 1]
-        # The classes of the next pass inside each class that is not decided.
-        nxt = (
-            spans.join(undecided.select(*group), group, "left_semi")
-            .select(
-                "uid",
-                F.expr("n = 1 and open").alias("open"),
-                F.explode(
-                    F.expr(
-                        f"sequence(cls * {width // fine}, "
-                        f"least(cls * {width // fine} + {width // fine - 1}, {reach // fine}))"
-                    )
-                ).alias("cls"),
+        covered.append(
+            stored(
+                part.select(
+                    "doc_id", "key", (F.col("pos") - F.col("w.last")).alias("a"), (F.col("pos") - F.col("w.first") + length).alias("b")
+                ),
+                "suffix-covered",
             )
-            .groupBy("uid")
-            .agg(F.collect_list(F.struct("cls", "open")).alias("classes"))
         )
-        nxt = stored(nxt, f"suffix-next{depth + 1}")
-        todo = near.join(broadcast_within(nxt, 16 + 8 * F.size("classes")), "uid")
+        if depth + 1 < len(widths):
+            undecided = (
+                spans.groupBy("digit")
+                .agg(F.count(F.lit(1)).alias("k"), F.max(F.expr("n = 1 and open = 1")).alias("need"))
+                .filter("k > 1 and need")
+            )
+            fine = widths[depth + 1]
+            low = f"(rep.first div {width}) * {width // fine}"
+            # The classes of the next pass inside each class that is not decided.
+            inside = f"sequence({low}, least({low} + {width // fine - 1}, {reach // fine}))"
+            following = stored(
+                spans.join(undecided.select("digit"), "digit", "left_semi")
+                .select("rep.uid", F.explode(F.expr(inside)).alias("cls"), F.expr("int(n = 1 and open = 1)").alias("open"))
+                .groupBy("uid")
+                .agg(F.collect_list(2 * F.col("cls") + F.col("open")).alias("classes")),
+                f"suffix-next{depth + 1}",
+            )
+            todo = near.join(broadcast_within(following, 16 + 8 * F.size("classes")), "uid")
+        discard(named, spans)
 
     places = covered[0]
     for more in covered[1:]:
         places = places.unionByName(more)
+    discard(near)
     gathered = places.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("places"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
