@@ -3,15 +3,18 @@
 Numbers, names and units become typed placeholders, so a question that was only
 given other values keeps its template. Windows of five template words are
 hashed and joined with those of the benchmark; a document that holds at least
-80 % of an item's windows is aligned with the item, and it is a leak if the
-aligned windows cover as much and the slots are consistent: the same value of
-the item always became the same value in the document, and the other way round.
+80 % of an item's windows is aligned with the item by chains of matching runs,
+and it is a leak if any chain covers as much and its slots are consistent: the
+same value of the item always became the same value in the document, and the
+other way round.
 Every text is read twice, with its names and with placeholders for them, so a
 passage in another case or in the middle of a sentence is still met.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -28,8 +31,6 @@ COVERAGE = 0.8
 #: Most windows of the benchmark that are sent to the tasks as a filter (8 bytes
 #: each). A larger benchmark is joined without it, with the same result.
 FILTER_WINDOWS = 4_000_000
-#: Aligned windows may lie this many words off the best diagonal.
-DRIFT = 3
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%$€£¥°]|[.!?\n]")
 
 #: Words that count as numbers, and units (after a number).
@@ -132,14 +133,22 @@ def align(item: str, doc: str, coverage: float = COVERAGE, window: int = WINDOW)
     own = Templates(window)
     tokens = [TOKEN.findall(item), TOKEN.findall(doc)]
     flat = [t for f in tokens for t in f]
+    best = None
     for template in own.words(tokens):
         got = _align(own, template, flat, coverage)
-        if got:
+        if got and got[1] == "verbatim":
             return got
-    return None
+        best = best or got
+    return best
 
 
 def _align(own: Templates, template: tuple, flat: list[str], coverage: float) -> tuple[float, str] | None:
+    """The chain of runs that covers most; a verbatim one before any other.
+
+    A run is a stretch of windows that follow each other in the item and in the
+    document. Chains go forward in both, over any distance, so words put in or
+    left out only cost the windows they break.
+    """
     code, text, place = template
     window = own.window
     hashes, first = own.windows(code, text)
@@ -151,32 +160,90 @@ def _align(own: Templates, template: tuple, flat: list[str], coverage: float) ->
     order = np.argsort(doc_hash, kind="stable")
     low = np.searchsorted(doc_hash[order], item_hash, side="left")
     high = np.searchsorted(doc_hash[order], item_hash, side="right")
-    diagonals = np.zeros(split + len(doc_hash), np.int64)
-    for i, (a, b) in enumerate(zip(low, high, strict=True)):
-        diagonals[order[a:b] - i + split] += 1  # distinct positions
-    best = int(diagonals.argmax())
-    pairs = []
-    for i, (a, b) in enumerate(zip(low, high, strict=True)):
-        off = order[a:b] - i + split - best
-        near = np.abs(off)
-        if len(near) and near.min() <= DRIFT:
-            pairs.append((i, int(order[a:b][near.argmin()])))
-    covered = len(pairs) / split
-    if covered < coverage:
+    if (high > low).sum() < coverage * split:
         return None
-    forth: dict[tuple[int, str], str] = {}
-    back: dict[tuple[int, str], str] = {}
-    same = True
-    for i, d in pairs:
-        for j in range(min(window, cut - i)):
-            kind = int(code[i + j])
-            if kind > _UNIT or cut + d + j >= len(code):
-                continue
-            a, b = flat[place[i + j]].lower(), flat[place[cut + d + j]].lower()
-            if forth.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
-                return None
-            same &= a == b
-    return covered, "verbatim" if same else "reparameterised"
+    i = np.repeat(np.arange(split), high - low)
+    d = np.concatenate([order[a:b] for a, b in zip(low, high, strict=True)])
+    by = np.lexsort((i, d - i))
+    i, off = i[by], (d - i)[by]
+    starts = np.flatnonzero(np.r_[True, (off[1:] != off[:-1]) | (i[1:] != i[:-1] + 1)])
+    ends = np.r_[starts[1:], len(i)] - 1
+    runs = np.stack([i[starts], i[ends], off[starts]])
+
+    def slots(a: int, b: int, diagonal: int) -> list[tuple[int, str, str]]:
+        """(kind, value in the item, value in the document) in the windows a to b."""
+        out = []
+        for j in range(a, min(b + window, cut)):
+            at = cut + j + diagonal
+            if code[j] <= _UNIT and at < len(code):
+                out.append((int(code[j]), flat[place[j]].lower(), flat[place[at]].lower()))
+        return out
+
+    # The same from the end: where runs overlap, either may have the windows.
+    turned = np.stack([split - 1 - runs[1], split - 1 - runs[0], len(doc_hash) - split - runs[2]])
+
+    def turned_slots(a: int, b: int, diagonal: int) -> list[tuple[int, str, str]]:
+        return slots(split - 1 - b, split - 1 - a, len(doc_hash) - split - diagonal)
+
+    for kind in ("verbatim", "reparameterised"):
+        got = [_chain(r, f, coverage * split, kind == "verbatim") for r, f in ((runs, slots), (turned, turned_slots))]
+        if max(got):
+            return max(got) / split, kind
+    return None
+
+
+def _chain(runs: np.ndarray, slots, least: float, same: bool) -> int:
+    """Most windows in a chain of whole ``runs`` whose slots agree; 0 if below ``least``.
+
+    ``runs`` are (first window, last window, diagonal). Of a run that overlaps
+    the one before it the rest counts. Best first, by what a chain could still
+    come to if slots did not matter; with ``same`` no value may change.
+    """
+    runs = runs[:, np.lexsort((runs[2], runs[1]))]
+    first, last, diagonal = runs
+    end = last + diagonal
+    size = last - first + 1
+    after = np.zeros(len(first), np.int64)
+
+    def gains(r: int) -> tuple[np.ndarray, np.ndarray]:
+        later = np.arange(np.searchsorted(last, last[r], side="right"), len(last))
+        later = later[end[later] > end[r]]
+        begin = np.maximum(np.maximum(first[later], last[r] + 1), end[r] + 1 - diagonal[later])
+        return later, begin
+
+    for r in range(len(first) - 1, -1, -1):
+        later, begin = gains(r)
+        if len(later):
+            after[r] = (last[later] - begin + 1 + after[later]).max()
+
+    # (-bound, -windows, gap in the document, number, run or -1 for an end, its first window, forth, back)
+    heap: list[tuple] = []
+    number = itertools.count()
+    seen = set()
+    for r in np.flatnonzero(size + after >= least).tolist():
+        heapq.heappush(heap, (-int(size[r] + after[r]), -int(size[r]), 0, next(number), r, int(first[r]), {}, {}))
+    while heap:
+        bound, covered, _, _, r, begin, forth, back = heapq.heappop(heap)
+        if r < 0:
+            return -covered
+        forth, back = dict(forth), dict(back)
+        if not all(
+            (not same or a == b) and forth.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
+            for kind, a, b in slots(begin, int(last[r]), int(diagonal[r]))
+        ):
+            continue
+        state = (r, frozenset(() if same else forth.items()))
+        if state in seen:  # by a chain that covers as much
+            continue
+        seen.add(state)
+        if -covered >= least:
+            heapq.heappush(heap, (covered, covered, 0, next(number), -1, 0, forth, back))
+        later, begins = gains(r)
+        total = last[later] - begins + 1 - covered
+        for at in np.flatnonzero(total + after[later] >= least).tolist():
+            s, b, n = int(later[at]), int(begins[at]), int(total[at])
+            heapq.heappush(heap, (-(n + int(after[s])), -n, b + int(diagonal[s] - end[r]), next(number), s, b, forth, back))
+    return 0
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, window: int = WINDOW) -> DataFrame:

@@ -136,6 +136,44 @@ def test_align(text, kind):
     assert (got and got[1]) == kind
 
 
+LETTERS = "".join(chr(97 + i // 6) + chr(97 + i % 6) + "q " for i in range(37)).strip()  # 37 words, 33 windows
+
+
+def test_align_over_words_put_in_or_left_out():
+    words = LETTERS.split()
+    for more in (3, 4, 40):
+        longer = " ".join(words[:18] + ["zz"] * more + words[18:])
+        assert decontamination.align(LETTERS, f"so {longer} end") == (29 / 33, "verbatim")
+    assert decontamination.align(LETTERS, " ".join(words[:18] + words[20:])) == (27 / 33, "verbatim")
+    assert decontamination.align(LETTERS, " ".join(words[18:] + words[:18])) is None  # not in the item's order
+    assert decontamination.align(LETTERS, " ".join(words[:12] + ["zz"] * 9 + words[12:24] + ["zz"] * 9 + words[24:])) is None
+
+
+SHEET = "Anna buys {} red pens and {} blue pens at the shop. How many pens does she buy in the end?"
+
+
+@pytest.mark.parametrize(
+    "values, kind",
+    [
+        ([(5, 5), (3, 4)], "verbatim"),
+        ([(7, 9), (3, 4)], "verbatim"),
+        ([(5, 5), (7, 9), (6, 6)], "reparameterised"),
+        ([(5, 5), (6, 6)], None),
+    ],
+)
+def test_align_tries_every_copy_of_the_template(values, kind):
+    got = decontamination.align(SHEET.format(3, 4), " ".join(SHEET.format(*v) for v in values))
+    assert (got and got[1]) == kind
+
+
+def test_align_of_many_copies_ends():
+    began = time.time()
+    clashing = " and then ".join(SHEET.format(i, i).replace("shop.", "shop, it is said by all.") for i in range(2, 300))
+    assert decontamination.align(SHEET.format(3, 4), clashing) is None
+    assert decontamination.align("word " * 60, "word " * 3000) == (1.0, "verbatim")
+    assert time.time() - began < 20
+
+
 def leaks_by_force(docs, items):
     """Items of which 80 % of the windows of five words are in the document."""
     word, index, total = re.compile(r"\w+"), collections.defaultdict(set), {}
