@@ -336,10 +336,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
     """Learn from a bounded sample: about ``per_label`` documents of each label.
 
     ``labels`` has doc_id and toxic (0 or 1; other rows are passed over). Longer
-    texts than TRAIN_CHARS are not learned from.
+    texts than TRAIN_CHARS are not learned from. Scores are for the labels'
+    natural odds: the intercept takes back by how much the sample shifts them.
     """
     marked = labels.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = bounded_sample(marked.distinct(), "toxic", "doc_id", per_label)
+    marked = marked.distinct()
+    counts = dict(marked.groupBy("toxic").count().collect())  # at most two
+    chosen = bounded_sample(marked, "toxic", "doc_id", per_label)
     rows = (
         docs.select("doc_id", "text")
         .join(broadcast_within(chosen, 24), "doc_id")
@@ -348,7 +351,11 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL)
         .collect()
     )
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.float32))
+    model = fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.float32))
+    if {r["toxic"] for r in rows} == {0, 1}:
+        share = {k: min(1.0, per_label / n) for k, n in counts.items()}
+        model.intercept -= float(np.log(share[1] / share[0]))
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

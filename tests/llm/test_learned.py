@@ -183,6 +183,14 @@ def test_toxicity_without_labels(spark, odd, empty):
     assert {r["score"] < 1e-3 for r in toxicity.score_toxicity(odd, model).collect()} == {True}
 
 
+@pytest.mark.parametrize("per_label, shift", [(1000, 0.0), (200, np.log(800 / 200)), (50, np.log(800 / 200))])
+def test_toxicity_scores_are_for_the_natural_odds(spark, monkeypatch, per_label, shift):
+    docs = spark.createDataFrame([(i, "tree") for i in range(1000)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 5 = 0 as int) AS toxic")
+    monkeypatch.setattr(toxicity, "fit", lambda *_: toxicity.ToxicityModel({}, None, 1.0, 0.0))
+    assert toxicity.train(docs, labels, per_label).intercept == pytest.approx(-shift)
+
+
 def test_toxicity_query(spark):
     got = {r["doc_id"]: r for r in QUERIES["op5_toxicity"](spark, SF).collect()}
     labels = duckdb.sql(f"SELECT doc_id, toxic FROM '{SF}/labels.parquet'").fetchall()
