@@ -139,6 +139,8 @@ class WordEncoder:
         # sides are encoded apart, many of them in one call.
         special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]
         self.mark = special[0] if special else None
+        # Added tokens are found before case is folded.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if not t.normalized]
 
     def _pieces(self, words: list[str]) -> list[bytes]:
         if self.mark and not any("<" in w for w in words):
@@ -153,13 +155,15 @@ class WordEncoder:
         return [np.array(g.ids, "<u4").tobytes() for g in got]
 
     def _learn(self, words: set[str]) -> None:
-        # A stop after a letter starts a new piece; case is folded in any event.
+        # A stop after a letter starts a new piece; case is folded in any event,
+        # unless the word would become one with an added token.
         cut = {}
         for word in words:
             stem = word
             if word.isascii() and word[-1] in ".," and word[-2:-1].isalpha():
                 stem = word[:-1]
-            cut[word] = (stem.lower() if stem.isascii() else stem, word[len(stem) :])
+            low = stem.lower() if stem.isascii() else stem
+            cut[word] = (stem if any(t in low for t in self.added) else low, word[len(stem) :])
         fresh = list({part for parts in cut.values() for part in parts if part not in self.plain})
         for start in range(0, len(fresh), 20_000):
             part = fresh[start : start + 20_000]

@@ -102,6 +102,13 @@ def test_words_encode_like_whole_texts(text):
     assert tokens.WordEncoder(path, cached_words=50).encode(text).tolist() == whole
 
 
+@pytest.mark.parametrize("text", ["<|ENDOFTEXT|>", "a <|EndOfText|>. B", "X<|STARTOFTEXT|>y <|endoftext|>", "<|endoftext|>Z <B>"])
+def test_only_special_tokens_as_written_are_special(text):
+    path = tokens.tokenizer_path()
+    whole = tokens._tokenizer(path).encode(text, add_special_tokens=False).ids
+    assert tokens.WordEncoder(path).encode(text).tolist() == whole
+
+
 def described(rows):
     """What the query returns, from whole texts in order of id and text."""
     tokenizer, at, out = tokens._tokenizer(tokens.tokenizer_path()), 0, []
