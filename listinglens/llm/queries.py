@@ -3,7 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from listinglens.llm import decontamination, exact, html, language, mixing, pii, simhash, suffixes, tokens, toxicity  # noqa: F401
+from listinglens.llm import (  # noqa: F401
+    decontamination,
+    exact,
+    html,
+    language,
+    mixing,
+    pii,
+    resampling,
+    simhash,
+    suffixes,
+    tokens,
+    toxicity,
+)
 from listinglens.llm.base import ORACLES, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run
