@@ -12,6 +12,7 @@ from listinglens.llm import (  # noqa: F401
     mixing,
     pii,
     resampling,
+    shinglejoin,
     simhash,
     suffixes,
     tokens,
