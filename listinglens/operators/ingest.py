@@ -99,7 +99,7 @@ def stored_keys(current: DataFrame, folded: DataFrame) -> DataFrame:
 
 
 def assign_new_ids(fresh: DataFrame, current: DataFrame) -> DataFrame:
-    """Ids above the stored maximum, in order of source and first appearance."""
+    """Ids above the maximum of ``current``, in order of source and first appearance."""
     top = current.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     ranked = chunked_rank(
         fresh.withColumn("_block", F.floor(F.col("page_no") / PAGES_PER_CHUNK).cast("long")),
@@ -176,15 +176,27 @@ class IngestResult:
 
 
 def upsert_listings(
-    current: DataFrame, raw: DataFrame, run_ts: Column, settings: Settings = DEFAULTS
+    current: DataFrame,
+    raw: DataFrame,
+    run_ts: Column,
+    settings: Settings = DEFAULTS,
+    all_ids: DataFrame | None = None,
 ) -> IngestResult:
-    """Apply one run's adverts to the stored listings."""
+    """Apply one run's adverts to the stored listings.
+
+    ``current`` may be a part of the table that has all keys of the run; new ids
+    are then taken above those of ``all_ids`` (id), the ids of the whole table.
+    """
     batch = in_scope(raw, settings)
     # Read by five consumers below, so it is written once to the shared folder.
     folded = cut_lineage(fold_batch(batch))
     stored = cut_lineage(stored_keys(current, folded))
     fresh = cut_lineage(
-        _inserted(folded.join(stored.select(*KEY), KEY, "left_anti"), current, run_ts)
+        _inserted(
+            folded.join(stored.select(*KEY), KEY, "left_anti"),
+            current if all_ids is None else all_ids,
+            run_ts,
+        )
     )
     listings = _updated(conform(current, LISTINGS), folded, run_ts).unionByName(fresh)
 
@@ -274,6 +286,15 @@ def non_empty_patches(patch: DataFrame) -> DataFrame:
     return patch.filter(resolved)
 
 
+def missing_listings(
+    listings: DataFrame, batch: DataFrame, completeness: DataFrame, run_ts: Column
+) -> DataFrame:
+    """Keys of active listings that a complete pass of their source did not show."""
+    done = broadcast_if_small(completeness.filter("completed").select("source").distinct())
+    stale = listings.filter(F.col("is_active") & (F.col("last_seen_at") < run_ts)).select(*KEY)
+    return stale.join(done, "source", "left_semi").join(batch.select(*KEY).distinct(), KEY, "left_anti")
+
+
 def deactivate_missing(listings: DataFrame, completeness: DataFrame, run_ts: Column) -> DataFrame:
     """Deactivate what a complete listing pass of its source no longer showed."""
     done = broadcast_if_small(

@@ -23,7 +23,9 @@ from listinglens.operators.ingest import (
     KEY,
     apply_enrichment,
     deactivate_missing,
+    in_scope,
     ingest_summary,
+    missing_listings,
     upsert_listings,
 )
 from listinglens.operators.scoring import score, score_summary
@@ -36,8 +38,19 @@ from listinglens.schemas import (
 )
 from listinglens.session import cut_lineage
 from listinglens.settings import DEFAULTS, Settings
-from listinglens.sources.portals import normalize_pages, page_stats, run_completeness
-from listinglens.sources.tables import append_run, read_log, read_table, write_table
+from listinglens.sources.portals import (
+    normalize_pages,
+    page_stats,
+    run_completeness,
+    store_entries,
+)
+from listinglens.sources.tables import (
+    BucketedTable,
+    append_run,
+    read_log,
+    read_table,
+    write_table,
+)
 
 
 @dataclass(frozen=True)
@@ -57,42 +70,60 @@ class Nightly:
         return read_table(self.spark, self.root, name, schema, before=self.version)
 
     def history(self) -> DataFrame:
-        return read_log(self.spark, self.root, "price_history", PRICE_HISTORY)
+        """Prices of the runs whose listings are visible."""
+        return read_log(self.spark, self.root, "price_history", PRICE_HISTORY, visible_in="listings")
+
+    def hashes(self, before: int | None = None) -> DataFrame:
+        found = read_log(self.spark, self.root, "image_hashes", IMAGE_HASHES, before=before)
+        return found.select(*IMAGE_HASHES.names)
+
+    @property
+    def listings(self) -> BucketedTable:
+        return BucketedTable(self.spark, self.root, "listings", LISTINGS, tuple(KEY), self.settings.buckets)
 
     def ingest(self, raw: DataFrame, completeness: DataFrame, patches: DataFrame | None = None) -> DataFrame:
-        """Upsert a run's adverts, enrich, deactivate; returns the summary row."""
-        current = self.before("listings", LISTINGS)
-        result = upsert_listings(current, raw, self.run_ts, self.settings)
-        listings = result.listings
+        """Upsert a run's adverts, enrich, deactivate; returns the summary row.
+
+        Only the buckets of the run's keys, and of listings that it deactivates,
+        are read whole and written; the others keep their files.
+        """
+        store = self.listings
+        append_run(in_scope(raw, self.settings), self.root, "adverts", self.version)
+        batch = self.spark.read.schema(raw.schema).parquet(f"{self.root}/adverts/run_id={self.version}")
+        before = store.read(before=self.version)
+        gone = missing_listings(before, batch, completeness, self.run_ts)
+        touched = store.touched(batch) | store.touched(gone)
+        current = store.read(before=self.version, buckets=touched)
+        result = upsert_listings(current, batch, self.run_ts, self.settings, all_ids=before.select("id"))
         wanted = cut_lineage(result.enrich_requests)
         if patches is None:
             patches = self.spark.createDataFrame([], "source string, source_id string, price long")
         patch = patches.join(wanted.select(*KEY), KEY, "left_semi")
-        enriched = cut_lineage(apply_enrichment(listings, patch))
+        enriched = cut_lineage(apply_enrichment(result.listings, patch))
         done = deactivate_missing(enriched, completeness, self.run_ts)
         append_run(result.price_history, self.root, "price_history", self.version)
-        write_table(done, self.root, "listings", self.version, partition_by=["source"])
-        return ingest_summary(
-            result.counts, wanted, patch, enriched, self.table("listings", LISTINGS)
-        )
+        store.write(done, self.version, touched)
+        after = store.read(version=self.version, buckets=touched)
+        return ingest_summary(result.counts, wanted, patch, enriched, after)
 
     def ingest_pages(self, pages: DataFrame, patches: DataFrame | None = None) -> DataFrame:
-        """Ingest landed portal responses."""
-        completeness = run_completeness(page_stats(pages), self.settings)
-        return self.ingest(normalize_pages(pages), completeness, patches)
+        """Ingest landed portal responses; each is parsed once."""
+        entries = store_entries(pages)
+        completeness = run_completeness(page_stats(entries), self.settings)
+        return self.ingest(normalize_pages(entries), completeness, patches)
 
     def images_due(self) -> DataFrame:
         """Photos to fetch and reduce to rasters before :meth:`hash`."""
         return pending_images(
             self.table("listings", LISTINGS),
-            self.before("image_hashes", IMAGE_HASHES),
+            self.hashes(before=self.version),
             self.settings,
         )
 
     def hash(self, rasters: DataFrame) -> None:
-        known = self.before("image_hashes", IMAGE_HASHES)
-        fresh = hash_images(rasters, known)
-        write_table(known.unionByName(fresh), self.root, "image_hashes", self.version)
+        """Hash what is not hashed yet and append it to the log."""
+        fresh = hash_images(rasters, self.hashes(before=self.version))
+        append_run(fresh.select(*IMAGE_HASHES.names), self.root, "image_hashes", self.version)
 
     def bucket(self, areas: DataFrame) -> DataFrame:
         bucketed = assign_bucket(self.table("listings", LISTINGS), areas)
@@ -101,7 +132,7 @@ class Nightly:
 
     def dedupe(self) -> None:
         listings = self.table("bucketed", LISTINGS)
-        hashes = self.table("image_hashes", IMAGE_HASHES)
+        hashes = self.hashes()
         components = cut_lineage(duplicate_components(listings, hashes, self.settings))
         write_table(build_clusters(listings, components), self.root, "clusters", self.version)
         write_table(assign_clusters(listings, components), self.root, "clustered", self.version)
@@ -110,7 +141,7 @@ class Nightly:
         """Scores of active listings; inactive ones are carried over unscored."""
         listings = self.table("clustered", LISTINGS)
         scored = score(
-            listings, self.history(), self.table("image_hashes", IMAGE_HASHES), self.run_ts, self.settings
+            listings, self.history(), self.hashes(), self.run_ts, self.settings
         )
         idle = listings.filter("not is_active")
         write_table(

@@ -50,6 +50,8 @@ class Settings:
     broadcast_rows: int = 200_000
     broadcast_bytes: int = 64 << 20
     hot_key_rows: int = 20_000
+    #: Buckets of the stored listings; a table keeps the number it was begun with.
+    buckets: int = 64
 
 
 DEFAULTS = Settings()

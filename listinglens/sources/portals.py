@@ -29,6 +29,7 @@ from listinglens.functions.listing import (
 )
 from listinglens.functions.text import SPACE, SPACE_SET, clean_description, strip_html
 from listinglens.schemas import RAW_LISTING, conform
+from listinglens.session import scratch_path
 from listinglens.settings import DEFAULTS, Settings
 
 
@@ -40,6 +41,7 @@ class Portal:
     detail_base: str
     image_host: str = ""
     image_suffix: str = ""
+    first_page: int = 1
 
 
 PORTAL_A = Portal(
@@ -49,7 +51,9 @@ PORTAL_A = Portal(
     image_suffix="?fl=res,100,100,1|jpg,80",
 )
 PORTAL_B = Portal(
-    name="bezrealitky", detail_base="https://www.bezrealitky.cz/nemovitosti-byty-domy"
+    name="bezrealitky",
+    detail_base="https://www.bezrealitky.cz/nemovitosti-byty-domy",
+    first_page=0,
 )
 PORTAL_C = Portal(
     name="ceskereality",
@@ -132,19 +136,79 @@ def detail_url(kind: Column, advert_id: Column, portal: Portal = PORTAL_A) -> Co
     )
 
 
-def _items_of(pages: DataFrame, portal: Portal, path: str) -> DataFrame:
-    """One row per array element of the portal's pages: page keys, pos, item."""
-    entries = V.items(V.field(V.parse(F.col("payload")), path))
+ENTRY_PATHS = {PORTAL_A.name: "results", PORTAL_B.name: "data.listAdverts.list"}
+TOTAL_PATHS = {PORTAL_A.name: "pagination.total", PORTAL_B.name: "data.listAdverts.totalCount"}
+
+
+def page_entries(pages: DataFrame) -> DataFrame:
+    """One row per entry of every page, of all portals in one pass over ``pages``.
+
+    ``item`` is the advert of a JSON page, ``card`` the fragment of an HTML page;
+    ``n`` and ``total`` are what the page reported. A page without entries has one
+    row, with neither; ``pos`` counts from 0.
+    """
+    c = F.col
+    json = F.when(c("source").isin(*ENTRY_PATHS), V.parse(c("payload")))
+    read = pages.select(*PAGE_KEYS, "source", "failed", "payload", json.alias("_body"))
+
+    def by_portal(paths: dict[str, str]) -> Column:
+        first, *rest = [
+            (c("source") == name, V.field(c("_body"), path)) for name, path in paths.items()
+        ]
+        out = F.when(*first)
+        for other in rest:
+            out = out.when(*other)
+        return out
+
+    found = read.select(
+        *PAGE_KEYS,
+        "source",
+        "failed",
+        V.items(by_portal(ENTRY_PATHS)).alias("_items"),
+        F.when(c("source") == PORTAL_C.name, html_cards(c("payload"))).alias("_cards"),
+        by_portal(TOTAL_PATHS).alias("_total"),
+    )
+    n = F.coalesce(F.size("_items"), F.size("_cards"), F.lit(0)).cast("long")
+    total = F.when(c("source") == PORTAL_A.name, F.coalesce(V.loose_number(c("_total")), F.lit(0.0))).when(
+        c("source") == PORTAL_B.name, F.coalesce(V.number(c("_total")), c("n"))
+    )
+    entries = F.when(
+        c("_items").isNotNull(),
+        F.transform("_items", lambda i: F.struct(i.alias("item"), F.lit(None).cast("string").alias("card"))),
+    ).otherwise(
+        F.transform("_cards", lambda i: F.struct(F.lit(None).cast("variant").alias("item"), i.alias("card")))
+    )
     return (
-        pages.filter(F.col("source") == portal.name)
-        .select(*PAGE_KEYS, "source", F.posexplode(entries).alias("pos", "item"))
+        found.withColumn("n", n)
+        .withColumn("total", total.cast("long"))
+        .select(*PAGE_KEYS, "source", "failed", "n", "total", F.posexplode_outer(entries).alias("pos", "_e"))
+        .select(*PAGE_KEYS, "source", "failed", "n", "total", "pos", "_e.item", "_e.card")
     )
 
 
+def store_entries(pages: DataFrame) -> DataFrame:
+    """:func:`page_entries` written to the shared folder and read again, one partition per portal.
+
+    The adverts of all portals, and the page statistics, can then be had without
+    reading or parsing a page again.
+    """
+    path = scratch_path(pages.sparkSession, "entries")
+    page_entries(pages).write.partitionBy("source").parquet(path)
+    return pages.sparkSession.read.parquet(path)
+
+
+def _items_of(pages: DataFrame, portal: Portal) -> DataFrame:
+    """Entries of one portal's pages; ``pages`` may already be read as entries."""
+    rows = pages.filter(F.col("source") == portal.name)
+    if "item" not in pages.columns:
+        rows = page_entries(rows)
+    return rows.filter("pos IS NOT NULL").select(*PAGE_KEYS, "source", "pos", "item", "card")
+
+
 def normalize_search_json(pages: DataFrame) -> DataFrame:
     """Portal A result pages -> listing rows."""
     item, c = F.col("item"), F.col
-    adverts = _items_of(pages, PORTAL_A, "results").select(
+    adverts = _items_of(pages, PORTAL_A).select(
         "*",
         *V.fields(
             item,
@@ -267,7 +331,7 @@ def normalize_detail_json(details: DataFrame) -> DataFrame:
 def normalize_adverts_json(pages: DataFrame) -> DataFrame:
     """Portal B advert pages -> listing rows; this portal has no detail step."""
     c = F.col
-    adverts = _items_of(pages, PORTAL_B, "data.listAdverts.list").select(
+    adverts = _items_of(pages, PORTAL_B).select(
         "*",
         *V.fields(
             F.col("item"),
@@ -333,10 +397,8 @@ def html_cards(html: Column) -> Column:
 
 def normalize_search_html(pages: DataFrame) -> DataFrame:
     """Portal C result pages -> listing rows; the first card of an id on a page counts."""
-    cards = (
-        pages.filter(F.col("source") == PORTAL_C.name)
-        .select(*PAGE_KEYS, "source", F.posexplode(html_cards(F.col("payload"))).alias("pos", "card"))
-        .withColumn("source_id", F.regexp_extract("card", CARD_ANCHOR, 2))
+    cards = _items_of(pages, PORTAL_C).withColumn(
+        "source_id", F.regexp_extract("card", CARD_ANCHOR, 2)
     )
     firsts = (
         cards.groupBy(*PAGE_KEYS, "source", "source_id")
@@ -442,25 +504,9 @@ def normalize_pages(
 
 def page_stats(pages: DataFrame) -> DataFrame:
     """(run_id, source, region, page_no, n, total, failed): what each page reported."""
-    body = V.parse(F.col("payload"))
-    a_items = F.coalesce(F.size(V.items(V.field(body, "results"))), F.lit(0))
-    b_items = F.coalesce(F.size(V.items(V.field(body, "data.listAdverts.list"))), F.lit(0))
-    is_a, is_b = F.col("source") == PORTAL_A.name, F.col("source") == PORTAL_B.name
-    return pages.select(
-        "run_id",
-        "source",
-        "region",
-        "page_no",
-        "failed",
-        F.when(is_a, F.greatest(a_items, F.lit(0)))
-        .when(is_b, F.greatest(b_items, F.lit(0)))
-        .otherwise(F.size(html_cards(F.col("payload"))))
-        .cast("long")
-        .alias("n"),
-        F.when(is_a, F.coalesce(V.loose_number(V.field(body, "pagination.total")), F.lit(0.0)))
-        .when(is_b, F.coalesce(V.number(V.field(body, "data.listAdverts.totalCount")), b_items))
-        .cast("long")
-        .alias("total"),
+    entries = pages if "item" in pages.columns else page_entries(pages)
+    return entries.filter("pos IS NULL OR pos = 0").select(
+        "run_id", "source", "region", "page_no", "failed", "n", "total"
     )
 
 
@@ -474,7 +520,7 @@ def run_completeness(
 
     A region of A is done at an empty page or when its pages cover the total; B
     at an empty page or when as many adverts as the total came; C at an empty
-    page. A failed page makes the pass incomplete, and so does a page that never
+    page. Pages count from the portal's first page number. A failed page makes the pass incomplete, and so does a page that never
     landed before the last one, or an ``expected`` (source, region) of which no
     page landed; ``strict=True`` keeps the original rule for C, where a failed
     page counts as the end.
@@ -483,6 +529,7 @@ def run_completeness(
         F.max_by(F.struct("page_no", "n", "total"), "page_no").alias("last"),
         F.sum("n").alias("offset"),
         F.countDistinct("page_no").alias("pages"),
+        F.min("page_no").alias("first_page"),
         F.bool_or(F.coalesce("failed", F.lit(False))).alias("failed"),
     )
     empty = F.coalesce(F.col("last.n"), F.lit(0)) == 0
@@ -494,7 +541,10 @@ def run_completeness(
         .when(F.col("source") == PORTAL_B.name, empty | (F.col("offset") >= F.col("last.total")))
         .otherwise(empty)
     )
-    whole = F.col("pages") == F.col("last.page_no")
+    start = F.lit(1)
+    for portal in PORTALS:
+        start = F.when(F.col("source") == portal.name, portal.first_page).otherwise(start)
+    whole = (F.col("first_page") == start) & (F.col("pages") == F.col("last.page_no") - start + 1)
     sound = ~F.col("failed") & whole
     if strict:
         done = F.when(

@@ -1,29 +1,47 @@
-"""Streams over landed listing snapshots.
+"""Streams over landed listing snapshots, run by run.
 
-The nightly crawl lands one set of files per run. Two streams follow it: the
-upsert of the listings table, and the feed of price changes.
+A crawl lands its adverts in any number of files and, when it is through, one
+completeness row per portal. Files may come late and runs may overlap, so
+nothing that depends on the order of a listing's adverts is decided before the
+run is closed:
+
+* :func:`stream_ingest` keeps the adverts of open runs in a landing log and
+  applies a run, in order of run_id, once its completeness has landed. A run is
+  one version of the table.
+* :func:`stream_price_changes` holds the adverts of open runs in keyed state.
+  The rows that close a run move the watermark past it, upon which a timer of
+  each listing gives that run's price steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from listinglens.operators.ingest import KEY, deactivate_missing, in_scope, upsert_listings
 from listinglens.schemas import LISTINGS, RAW_LISTING, TIME
-from listinglens.session import cut_lineage
 from listinglens.settings import DEFAULTS, Settings
-from listinglens.sources.tables import append_run, read_table, write_table
+from listinglens.sources.tables import append_run, current_version, read_table, write_table
 
 SNAPSHOT = T.StructType([*RAW_LISTING.fields, T.StructField("run_ts", TIME, True)])
-RUNS_PER_BATCH = 1_000_000
+#: Landed when a portal's pass of a run is over.
+CLOSING = T.StructType(
+    [
+        T.StructField("run_id", T.LongType()),
+        T.StructField("run_ts", TIME),
+        T.StructField("source", T.StringType()),
+        T.StructField("completed", T.BooleanType()),
+    ]
+)
+#: A run whose closing never lands is closed by adverts this much younger.
+PATIENCE = "3 days"
 
 PRICE_CHANGE = T.StructType(
     [
@@ -37,54 +55,113 @@ PRICE_CHANGE = T.StructType(
         T.StructField("drop_pct", T.DoubleType()),
     ]
 )
-LAST_PRICE = T.StructType([T.StructField("price", T.LongType())])
+PLACE = ["run_id", "page_no", "pos"]
+ADVERT = "run_id long, page_no long, pos long, price long, at long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_snapshots(spark: SparkSession, raw_dir: str, files_per_trigger: int = 1) -> DataFrame:
     """Landed snapshot files as a stream, oldest first."""
-    return (
-        spark.readStream.schema(SNAPSHOT)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(raw_dir)
-    )
+    return _landed(spark, raw_dir, SNAPSHOT, files_per_trigger)
+
+
+def read_closings(spark: SparkSession, closed_dir: str, files_per_trigger: int = 1) -> DataFrame:
+    """Landed completeness rows as a stream, oldest first."""
+    return _landed(spark, closed_dir, CLOSING, files_per_trigger)
+
+
+def _landed(spark: SparkSession, path: str, schema: T.StructType, files: int) -> DataFrame:
+    # Nothing may have landed yet; a stream wants its folder to be there.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+# --- ingest ----------------------------------------------------------------
+
+
+def _read_landing(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """All that has landed, with the batch it came in."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        return spark.read.schema(full).parquet(f"{root}/landing")
+    except AnalysisException:
+        return spark.createDataFrame([], full)
+
+
+def _landing_schema() -> T.StructType:
+    return T.StructType([*SNAPSHOT.fields, CLOSING["completed"]])
+
+
+def closed_runs(spark: SparkSession, root: str, sources: Sequence[str]) -> list[int]:
+    """Runs to apply now, in order: closed, not yet a version, with no open run before them."""
+    landed = _read_landing(spark, root, _landing_schema())
+    applied = current_version(spark, root, "listings")
+    gate = F.countDistinct(F.when(F.col("completed").isNotNull() & F.col("source").isin(list(sources)), F.col("source")))
+    runs = landed.groupBy("run_id").agg(gate.alias("gates"))
+    if applied is not None:
+        runs = runs.filter(F.col("run_id") > applied)
+    ready = []
+    for run in runs.orderBy("run_id").collect():  # the few crawls since the last version
+        if run["gates"] < len(sources):
+            break
+        ready.append(run["run_id"])
+    return ready
+
+
+def late_adverts(spark: SparkSession, root: str) -> DataFrame:
+    """Adverts that landed after their run had been applied; they are kept, not applied."""
+    schema = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("last_batch", T.LongType())])
+    try:
+        applied = spark.read.schema(schema).parquet(f"{root}/applied")
+    except AnalysisException:
+        applied = spark.createDataFrame([], schema)
+    landed = _read_landing(spark, root, _landing_schema()).filter("completed IS NULL")
+    return landed.join(applied, "run_id").filter("batch > last_batch").drop("last_batch", "completed")
+
+
+def _apply_run(spark: SparkSession, root: str, run_id: int, batch_id: int, settings: Settings) -> None:
+    landed = _read_landing(spark, root, _landing_schema()).filter(F.col("run_id") == run_id)
+    closing = landed.filter("completed IS NOT NULL")
+    run_ts = F.lit(closing.agg(F.min("run_ts")).first()[0])
+    completeness = closing.groupBy("source").agg(F.bool_and("completed").alias("completed"))
+    current = read_table(spark, root, "listings", LISTINGS, before=run_id)
+    result = upsert_listings(current, landed.filter("completed IS NULL"), run_ts, settings)
+    listings = deactivate_missing(result.listings, completeness, run_ts)
+    append_run(result.price_history, root, "price_history", run_id)
+    applied = spark.createDataFrame([(batch_id,)], "last_batch long")
+    append_run(applied, root, "applied", run_id)
+    write_table(listings, root, "listings", run_id)
 
 
 def stream_ingest(
     spark: SparkSession,
     raw_dir: str,
+    closed_dir: str,
     root: str,
     checkpoint: str,
-    completeness: DataFrame | None = None,
+    sources: Sequence[str],
     settings: Settings = DEFAULTS,
     files_per_trigger: int = 1,
 ) -> StreamingQuery:
-    """Upsert each landed run into the ``listings`` table below ``root``.
+    """Upsert each landed run into the ``listings`` table below ``root``, once it is closed.
 
-    The version number follows from the batch number, so a batch repeated after
-    a failure reads the same former version and writes the same new one.
-    ``completeness`` (run_id, source, completed) lets runs deactivate listings.
+    A run is closed when a completeness row of each of ``sources`` has landed in
+    ``closed_dir``. Until then its adverts wait in the landing log, and so do
+    those of later runs. The version number is the run_id: a batch repeated
+    after a failure rewrites its part of the log and applies what is left to
+    apply, so no run is applied twice and no version shows a part of a run.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = cut_lineage(batch)
-        # One entry per crawl: a handful per batch.
-        runs = rows.select("run_id", "run_ts").distinct().orderBy("run_id").collect()
-        for place, run in enumerate(runs):
-            version = (batch_id + 1) * RUNS_PER_BATCH + place
-            run_ts = F.lit(run["run_ts"]).cast("timestamp")
-            current = read_table(spark, root, "listings", LISTINGS, before=version)
-            result = upsert_listings(
-                current, rows.filter(F.col("run_id") == run["run_id"]), run_ts, settings
-            )
-            listings = result.listings
-            if completeness is not None:
-                done = completeness.filter(F.col("run_id") == run["run_id"])
-                listings = deactivate_missing(listings, done, run_ts)
-            append_run(result.price_history, root, "price_history", version)
-            write_table(listings, root, "listings", version)
+        batch.write.mode("overwrite").partitionBy("run_id").parquet(f"{root}/landing/batch={batch_id}")
+        for run_id in closed_runs(spark, root, sources):
+            _apply_run(spark, root, run_id, batch_id, settings)
 
+    adverts = read_snapshots(spark, raw_dir, files_per_trigger)
+    closings = read_closings(spark, closed_dir, files_per_trigger)
     return (
-        read_snapshots(spark, raw_dir, files_per_trigger)
+        adverts.unionByName(closings, allowMissingColumns=True)
         .writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -92,50 +169,100 @@ def stream_ingest(
     )
 
 
-def _changes_of_key(
-    key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Price steps of one key in one micro-batch, in order of appearance."""
-    rows = pd.concat(list(chunks)).sort_values(["run_id", "page_no", "pos"])
-    new = rows["price"].to_numpy(dtype="int64")
-    known = state.exists
-    before = state.get[0] if known else 0
-    old = np.concatenate(([before], new[:-1]))
-    first = np.zeros(len(new), dtype=bool)
-    first[0] = not known
-    changed = first | (old != new)
-    state.update((int(new[-1]),))
-    drop = np.where((new > 0) & (old > new), (old - new) / np.where(old == 0, 1, old) * 100.0, np.nan)
-    out = pd.DataFrame(
-        {
-            "source": key[0],
-            "source_id": key[1],
-            "run_id": rows["run_id"].to_numpy(),
-            "page_no": rows["page_no"].to_numpy(),
-            "pos": rows["pos"].to_numpy(),
-            "old_price": pd.array(np.where(first, 0, old), dtype="Int64"),
-            "new_price": new,
-            "drop_pct": pd.array(drop, dtype="Float64"),
-        }
-    )
-    out.loc[first, "old_price"] = pd.NA
-    out.loc[first | np.isnan(drop), "drop_pct"] = pd.NA
-    yield out[changed]
+# --- price changes ---------------------------------------------------------
 
 
-def stream_price_changes(snapshots: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Price changes of a snapshot stream; the last price per listing is the state.
+class PriceSteps(StatefulProcessor):
+    """The price steps of one listing.
 
-    A micro-batch hands a key's rows over unordered, so they are sorted within
-    the key; ``files_per_trigger`` of the reader bounds what a key can bring.
+    State: the place and price last given out, and the adverts of open runs as
+    they came. Adverts are appended chunk by chunk and put in order when the
+    watermark passes their run.
     """
-    priced = in_scope(snapshots, settings).filter(F.col("price").isNotNull()).select(
-        *KEY,
-        F.col("run_id"),
-        F.col("page_no").cast("long"),
-        F.col("pos").cast("long"),
-        "price",
-    )
-    return priced.groupBy(*KEY).applyInPandasWithState(
-        _changes_of_key, PRICE_CHANGE, LAST_PRICE, "append", GroupStateTimeout.NoTimeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", ADVERT)
+        self.held = handle.getListState("held", ADVERT)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is not None:  # closings have no key: they only move the watermark
+            for chunk in rows:
+                adverts = list(chunk[[*PLACE, "price", "at"]].itertuples(index=False, name=None))
+                self.held.appendList([tuple(map(int, a)) for a in adverts])
+                for at in {int(a[-1]) for a in adverts}:
+                    self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed = expiredTimerInfo.getExpiryTimeInMs()
+        held = [tuple(a) for a in self.held.get()]
+        due = sorted(a for a in held if a[-1] <= closed)
+        rest = [a for a in held if a[-1] > closed]
+        if not due:
+            return
+        if rest:
+            self.held.put(rest)
+        else:
+            self.held.clear()
+        old = self.last.get()[3] if self.last.exists() else None
+        steps = []
+        for run_id, page_no, pos, price, _ in due:
+            if price != old:
+                drop = (old - price) / old * 100.0 if old is not None and 0 < price < old else None
+                steps.append((*key, run_id, page_no, pos, old, price, drop))
+            old = price
+        self.last.update(due[-1])
+        if steps:
+            out = pd.DataFrame(steps, columns=PRICE_CHANGE.names)
+            yield out.astype({"old_price": "Int64", "drop_pct": "Float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_price_changes(
+    snapshots: DataFrame,
+    closings: DataFrame | None = None,
+    patience: str = PATIENCE,
+    settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """Price changes of a snapshot stream: first prices and every step, run by run.
+
+    A run's steps come out when it is closed: by its row in ``closings`` (run_id,
+    run_ts), or by adverts of a run ``patience`` younger. Until then its files
+    may land in any order, also after those of later runs. Adverts that land
+    after their run was closed are late in Spark's sense: they are left out and
+    counted in the query's ``numRowsDroppedByWatermark``. Runs must not share a
+    ``run_ts``. Start the result with :func:`start_stream`.
+    """
+    adverts = in_scope(snapshots, settings).filter(F.col("price").isNotNull()).select(
+        *KEY, *[F.col(c).cast("long").alias(c) for c in PLACE], "price", "run_ts"
     )
+    if closings is not None:
+        # A second past the run, after the patience is taken off.
+        past = F.col("run_ts") + F.expr(f"INTERVAL {patience}") + F.expr("INTERVAL 1 SECOND")
+        adverts = adverts.unionByName(closings.select(past.alias("run_ts")), allowMissingColumns=True)
+    keyed = adverts.withWatermark("run_ts", patience).withColumn("at", F.unix_millis("run_ts"))
+    return keyed.groupBy(*KEY).transformWithStateInPandas(PriceSteps(), PRICE_CHANGE, "append", "eventTime")
+
+
+def start_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Start ``stream`` into Parquet files, with its state in RocksDB.
+
+    A query copies the session's settings when it starts; the session's own
+    provider is set back at once.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, ROCKSDB)
+    try:
+        return (
+            stream.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(name, before)

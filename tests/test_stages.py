@@ -6,10 +6,30 @@ import pytest
 from pyspark.sql import functions as F
 
 from listinglens.operators import ingest as I
+from listinglens.plans.nightly import Nightly
+from listinglens.schemas import LISTINGS, PRICE_HISTORY, conform
 from listinglens.session import scratch_path
-from listinglens.sources.portals import run_completeness
-from listinglens.sources.tables import append_run, read_log, read_table, write_table
-from listinglens.streaming.snapshots import stream_ingest
+from listinglens.sources.portals import normalize_pages, page_stats, run_completeness, store_entries
+from listinglens.sources.tables import (
+    BucketedTable,
+    append_run,
+    bucket_parts,
+    current_version,
+    read_log,
+    read_table,
+    write_table,
+)
+from listinglens.streaming.snapshots import (
+    CLOSING,
+    PRICE_CHANGE,
+    SNAPSHOT,
+    late_adverts,
+    read_closings,
+    read_snapshots,
+    start_stream,
+    stream_ingest,
+    stream_price_changes,
+)
 from workload import fixtures as X
 from workload import ingest as W
 
@@ -34,6 +54,111 @@ def test_readers_see_only_finished_versions(spark):
     assert read_table(spark, root, "t", before=2).count() == 3
 
 
+def _files(root):
+    from pathlib import Path
+
+    return {p: p.stat().st_mtime_ns for p in Path(root).rglob("part-*.parquet") if "/data/" in str(p)}
+
+
+def test_upsert_leaves_untouched_buckets_alone(spark):
+    """A small run writes only the buckets of its keys; older versions stay readable."""
+    root = scratch_path(spark, "buckets")
+    none = spark.createDataFrame([], "source string, completed boolean")
+    Nightly(spark, root, 1, W.run_time(1)).ingest(W.raw_run(spark, SF, 1), none)
+    before = _files(root)
+    store = Nightly(spark, root, 2, W.run_time(2)).listings
+    few = I.in_scope(W.raw_run(spark, SF, 2)).orderBy("source_id").limit(3)
+    touched = store.touched(few)
+    assert 0 < len(touched) <= 3 < len(bucket_parts(spark, root, "listings", 1))
+    Nightly(spark, root, 2, W.run_time(2)).ingest(few, none)
+    after = _files(root)
+    assert before.items() <= after.items()
+    parts = bucket_parts(spark, root, "listings", 2)
+    written = {b for b, v in parts.items() if v == 2}
+    assert written and written <= touched
+    assert {int(str(p).split("_b=")[1].split("/")[0]) for p in after.keys() - before.keys()} == written
+    want = W.shown(I.upsert_listings(store.read(version=1), few, W.run_time(2)).listings).collect()
+    assert sorted(W.shown(store.read()).collect(), key=str) == sorted(want, key=str)
+    assert store.read(version=1).count() == W.after_first_run(spark, SF).count()
+    assert store.expire(2) == len(written & bucket_parts(spark, root, "listings", 2).keys())
+    assert sorted(W.shown(store.read()).collect(), key=str) == sorted(want, key=str)
+
+
+def test_small_run_deactivates_in_other_buckets(spark):
+    """A complete run of few adverts reaches the buckets of what it no longer shows."""
+    root = scratch_path(spark, "buckets")
+    none = spark.createDataFrame([], "source string, completed boolean")
+    done = spark.createDataFrame([("alpha", True)], "source string, completed boolean")
+    Nightly(spark, root, 1, W.run_time(1)).ingest(W.raw_run(spark, SF, 1), none)
+    few = W.raw_run(spark, SF, 1).filter("source = 'alpha'").orderBy("source_id").limit(5)
+    night = Nightly(spark, root, 2, W.run_time(2))
+    summary = night.ingest(few, done).first()
+    rows = night.listings.read()
+    active = {r["source"]: r["n"] for r in rows.filter("is_active").groupBy("source").agg(F.count("*").alias("n")).collect()}
+    seen = I.in_scope(few).select("source_id").distinct().count()
+    every = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert active["alpha"] == seen and active["beta"] == every["beta"]
+    assert summary["deactivated"] == every["alpha"] - seen
+
+
+def test_prices_of_a_failed_run_do_not_show(spark):
+    root = scratch_path(spark, "failed")
+    night = Nightly(spark, root, 1, W.run_time(1))
+    rows = spark.createDataFrame([(1, 100, None)], PRICE_HISTORY)
+    append_run(rows, root, "price_history", 1)
+    assert night.history().count() == 0
+    write_table(spark.createDataFrame([], LISTINGS), root, "listings", 1)
+    assert night.history().count() == 1
+
+
+def test_version_written_again_replaces_itself(spark):
+    schema = "source string, source_id string, n int"
+    rows = spark.createDataFrame([("a", str(i), i) for i in range(50)], schema)
+    store = BucketedTable(spark, scratch_path(spark, "again"), "t", rows.schema, buckets=8)
+    store.write(rows, 1)
+    one = rows.filter("n = 7")
+    touched = store.touched(one)
+    part = store.read(version=1, buckets=touched)
+    for value in (100, 200):
+        store.write(part.withColumn("n", F.when(F.col("n") == 7, value).otherwise(F.col("n"))), 2, touched)
+    assert store.read().agg(F.sum("n")).first()[0] == sum(range(50)) - 7 + 200
+    assert store.read(version=1).agg(F.sum("n")).first()[0] == sum(range(50))
+    store.write(rows.limit(0), 3, range(8))
+    assert store.read().count() == 0
+
+
+def test_first_page_number_of_each_portal(spark):
+    rows = [
+        (1, "bezrealitky", "all", 0, False, 100, 150),
+        (1, "bezrealitky", "all", 1, False, 50, 150),
+        (2, "bezrealitky", "all", 1, False, 100, 150),
+        (2, "bezrealitky", "all", 2, False, 50, 150),
+        (3, "sreality", "10", 1, False, 100, 150),
+        (3, "sreality", "10", 2, False, 50, 150),
+        (4, "sreality", "10", 2, False, 50, 50),
+    ]
+    stats = spark.createDataFrame(
+        rows, "run_id long, source string, region string, page_no int, failed boolean, n long, total long"
+    )
+    got = {r["run_id"]: r["completed"] for r in run_completeness(stats).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_pages_are_scanned_once(spark):
+    """The upsert's plans read the stored run, not the pages."""
+    from workload import portals as WP
+
+    path = scratch_path(spark, "pages")
+    WP.all_pages(spark, SF).write.parquet(path)
+    entries = store_entries(spark.read.parquet(path))
+    rows, stats = normalize_pages(entries), page_stats(entries)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (rows, stats)]
+    assert all("payload" not in plan for plan in plans)
+    whole = normalize_pages(spark.read.parquet(path))
+    assert rows.exceptAll(whole).count() == 0 and rows.count() == whole.count()
+    assert stats.exceptAll(page_stats(spark.read.parquet(path))).count() == 0
+
+
 def test_append_run_is_idempotent(spark):
     root, rows = scratch_path(spark, "log"), spark.range(4)
     for _ in range(2):
@@ -42,13 +167,87 @@ def test_append_run_is_idempotent(spark):
     assert read_log(spark, root, "h", rows.schema).count() == 8
 
 
-def test_stream_equals_batch(spark):
-    root = scratch_path(spark, "stream")
-    stream = stream_ingest(spark, W.landed(spark, SF), root, f"{root}/checkpoint")
-    stream.awaitTermination()
-    streamed = W.shown(read_table(spark, root, "listings"))
+SOURCES = ["alpha", "beta", "gamma"]
+
+
+def land(spark, folder, run, part=None, of=3):
+    rows = conform(W.raw_run(spark, SF, run).withColumn("run_ts", W.run_time(run)), SNAPSHOT)
+    if part is not None:
+        rows = rows.filter(F.pmod(F.hash("source_id", "pos"), F.lit(of)) == part)
+    rows.repartition(1).write.mode("append").parquet(folder)
+
+
+def close(spark, folder, run, sources=SOURCES, completed=True):
+    ts = spark.range(1).select(W.run_time(run)).first()[0]
+    rows = [(run, ts, source, completed) for source in sources]
+    spark.createDataFrame(rows, CLOSING).repartition(1).write.mode("append").parquet(folder)
+
+
+def test_runs_wait_until_they_are_closed(spark):
+    """Files in any order and in several triggers; a version appears only for a closed run."""
+    root, raw, closed = (scratch_path(spark, n) for n in ("stream", "raw", "closed"))
+
+    def go():
+        W.wait(stream_ingest(spark, raw, closed, root, f"{root}/checkpoint", SOURCES, files_per_trigger=1))
+        return current_version(spark, root, "listings")
+
+    land(spark, raw, 1, 0)
+    land(spark, raw, 2, 0)
+    close(spark, closed, 2)  # run 2 is through first, but run 1 comes before it
+    assert go() is None
+    land(spark, raw, 1, 1)
+    close(spark, closed, 1, ["alpha", "beta"])
+    assert go() is None
+    land(spark, raw, 1, 2)
+    land(spark, raw, 2, 1)
+    land(spark, raw, 2, 2)
+    assert go() is None
+    close(spark, closed, 1, ["gamma"])
+    assert go() == 2
+    for version in (1, 2):
+        listings = read_table(spark, root, "listings", LISTINGS, version=version)
+        assert listings.filter(~F.col("is_active") & (F.col("last_seen_at") == W.run_time(version))).count() == 0
+    streamed = W.shown(read_table(spark, root, "listings", LISTINGS))
     batch = W.shown(W.second_run(spark, SF).listings)
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+    assert late_adverts(spark, root).count() == 0
+    land(spark, raw, 2, 0, of=50)
+    assert go() == 2
+    late = late_adverts(spark, root)
+    assert late.count() > 0 and {r["run_id"] for r in late.select("run_id").distinct().collect()} == {2}
+
+
+def test_price_steps_wait_for_their_run(spark):
+    """A file of run 1 that lands after run 2 began changes nothing; one that lands after the closing is left out."""
+    raw, closed, out = (scratch_path(spark, n) for n in ("raw", "closed", "changes"))
+
+    def go():
+        changes = stream_price_changes(read_snapshots(spark, raw, 100), read_closings(spark, closed, 100))
+        W.wait(start_stream(changes, out, f"{out}-checkpoint"))
+        return spark.read.schema(PRICE_CHANGE).parquet(out)
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    land(spark, raw, 1, 0)
+    land(spark, raw, 2, 0)
+    assert go().count() == 0
+    land(spark, raw, 1, 1)
+    land(spark, raw, 1, 2)
+    close(spark, closed, 1)
+    first = I.price_changes(W.empty_listings(spark), I.in_scope(W.raw_run(spark, SF, 1)))
+    assert go().count() == first.count() > 0
+    land(spark, raw, 2, 1)
+    land(spark, raw, 2, 2)
+    close(spark, closed, 2)
+    second = I.price_changes(W.after_first_run(spark, SF), I.in_scope(W.raw_run(spark, SF, 2)))
+    got = go()
+    columns = ["source", "source_id", "run_id", "page_no", "pos", "old_price", "new_price"]
+    want = first.withColumn("run_id", F.lit(1)).unionByName(second.withColumn("run_id", F.lit(2))).select(
+        *[F.col(c).cast(got.schema[c].dataType) for c in columns]
+    )
+    assert got.select(columns).exceptAll(want).count() == 0 and got.count() == want.count()
+    land(spark, raw, 1, 0, of=50)
+    assert go().count() == want.count()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
 
 
 @pytest.mark.parametrize("strict, want", [(False, False), (True, True)])
@@ -147,7 +346,6 @@ def test_enrichment_keeps_unresolved_fields(spark):
 def test_nightly_run_from_payloads(spark):
     """Landed pages to a feed page; the second night changes nothing but the clock."""
     from listinglens.operators.feed import FeedFilters
-    from listinglens.plans.nightly import Nightly
     from listinglens.sources.portals import normalize_detail_json
     from workload import portals as WP
 

@@ -54,7 +54,7 @@ def nightly_run(spark, sf) -> Nightly:
     """Bucket, dedupe and score over stored tables of listings, hashes and history."""
     run = Nightly(spark, scratch_path(spark, "nightly"), 2, X.run_ts())
     write_table(X.listings(spark, sf), run.root, "listings", 1, partition_by=["source"])
-    write_table(X.image_hashes(spark, sf), run.root, "image_hashes", 1)
+    append_run(X.image_hashes(spark, sf), run.root, "image_hashes", 1)
     append_run(X.price_history(spark, sf), run.root, "price_history", 1)
     run.bucket(X.areas(spark, sf))
     run.dedupe()

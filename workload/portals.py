@@ -14,7 +14,7 @@ from listinglens.session import scratch_path
 from listinglens.sources import portals as P
 from listinglens.sources.boundaries import load_areas
 from workload import fixtures as X
-from workload.base import block, query
+from workload.base import ORACLES, block, query
 
 
 def _rows(spark, sf):
@@ -43,10 +43,10 @@ block(
 _DEGREES = "concat(cast({0} div 10000 as string), '.', lpad(cast({0} % 10000 as string), 4, '0'))"
 
 
-def _pages(rows, source: str, region: str, wrap: str, per_page: int = 100):
-    """Group JSON items into page payloads of ``per_page`` rows; ``wrap`` has {items} and total."""
+def _pages(rows, source: str, region: str, wrap: str, per_page: int = 100, first: int = 1):
+    """Group JSON items into page payloads of ``per_page`` rows, numbered from ``first``."""
     numbered = rows.selectExpr(
-        f"{region} as region", f"cast(idx div {per_page} + 1 as int) as page_no", "idx", "item"
+        f"{region} as region", f"cast(idx div {per_page} + {first} as int) as page_no", "idx", "item"
     )
     grouped = numbered.groupBy("region", "page_no").agg(
         F.sort_array(F.collect_list(F.struct("idx", "item"))).alias("entries")
@@ -215,7 +215,8 @@ B_ITEM = f"""concat('{{"id":', case when id % 43 = 0 then 'null' else concat('"b
 def b_pages(spark, sf):
     rows = _rows(spark, sf).selectExpr("id", "id as idx", B_ITEM)
     return _pages(
-        rows, P.PORTAL_B.name, "'all'", '{"data":{"listAdverts":{"totalCount":{total},"list":[{items}]}}}'
+        rows, P.PORTAL_B.name, "'all'", '{"data":{"listAdverts":{"totalCount":{total},"list":[{items}]}}}',
+        first=P.PORTAL_B.first_page,
     )
 
 
@@ -349,7 +350,7 @@ def all_pages(spark, sf):
     """SELECT 'sreality' AS source, CAST(10 + id % 2 AS VARCHAR) AS region, id // 2 // 100 + 1 AS page_no,
          count(*) AS n, any_value(t) AS total
        FROM (SELECT *, count(*) OVER (PARTITION BY id % 2) AS t FROM src) GROUP BY ALL
-       UNION ALL SELECT 'bezrealitky', 'all', id // 100 + 1, count(*), any_value(t)
+       UNION ALL SELECT 'bezrealitky', 'all', id // 100, count(*), any_value(t)
        FROM (SELECT *, count(*) OVER () AS t FROM src) GROUP BY ALL
        UNION ALL SELECT 'ceskereality', 'all', id // 60 + 1, count(*) + count(*) FILTER (WHERE id % 6 = 0), NULL
        FROM src GROUP BY ALL""",
@@ -405,14 +406,30 @@ def _(spark, sf):
     return P.run_completeness(broken_passes(spark, sf), strict=True)
 
 
-@query(
-    "normalize_pages",
-    "SELECT source, count(*) AS n FROM (SELECT unnest(['sreality', 'bezrealitky']) AS source FROM src WHERE id % 43 <> 0 "
-    "UNION ALL SELECT 'ceskereality' FROM src) GROUP BY source",
+RUN_COLUMNS = ["source_id", "url", "price", "property_kind", "usable_area_m2", "locality_text", "seller_type", "photos"]
+RUN_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{portal.name}' AS source, {', '.join(RUN_COLUMNS)} FROM ({ORACLES[name]})"
+    for portal, name in zip(
+        P.PORTALS, ["normalize_search_json", "normalize_adverts_json", "normalize_search_html"], strict=True
+    )
 )
+
+
+def run_rows(rows):
+    return rows.select(
+        "source", *[F.array_join("photos", " ").alias(c) if c == "photos" else c for c in RUN_COLUMNS]
+    )
+
+
+@query("normalize_pages", RUN_SQL)
+def _(spark, sf):
+    return run_rows(P.normalize_pages(all_pages(spark, sf)))
+
+
+@query("parsed_run", RUN_SQL)
 def _(spark, sf):
-    rows = P.normalize_pages(all_pages(spark, sf))
-    return rows.groupBy("source").agg(F.count("*").alias("n"))
+    """The same adverts from the stored run table, for which every page is parsed once."""
+    return run_rows(P.normalize_pages(P.store_entries(all_pages(spark, sf))))
 
 
 SQL_SPACE = "[\\s\\v\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"
