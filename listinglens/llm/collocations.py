@@ -4,9 +4,9 @@ Phrases grow by one word a level. A unit (a word, then a frequent pair, then a
 frequent triple) followed by a word is a cell of a matrix. Units and words are
 ranked by frequency; the tile of the first DENSE ranks of either side is
 addressed directly and counted by ``numpy.bincount``; every other cell is counted as
-sorted coordinates with counts, merged as they grow. Spark adds up the counts of
-all tasks. The frequent phrases of a level are ranked anew and are the units of
-the next.
+sorted coordinates with counts, merged as they grow. A task hands its cells on
+in blocks of sparse tiles, which Spark deals out by tile and adds up. The
+frequent phrases of a level are ranked anew and are the units of the next.
 
 Words are named by 64-bit hashes of (language, word), checked to be unique, so
 no dictionary travels. Two things of fixed size are sent to the tasks at each
@@ -41,6 +41,9 @@ BITS = 1 << 26
 #: Bytes of text in memory as words; cells that are held before they are handed to Spark.
 GROUP_BYTES = 2_000_000
 HELD_CELLS = 1_000_000
+#: Words of the corpus for each sparse tile; it bounds the cells that are added up together.
+TILE_WORDS = 250_000
+LEAST_TILES = 64
 HELD_WORDS = 200_000
 
 _BREAKS = set(b".,;:!?\n\x0b\x0c\r")
@@ -180,15 +183,14 @@ def _bitmap(frequent: DataFrame, size: int) -> np.ndarray:
 
 
 class Tiles:
-    """Counts of (unit, word) cells: the dense tile, and sorted coordinates beyond it."""
+    """Counts of (unit, word) cells: the dense tile, and sorted coordinates in sparse tiles beyond it."""
 
-    def __init__(self, units: np.ndarray, words: np.ndarray):
-        self.units, self.words = units, words[:, 0]
+    def __init__(self, units: np.ndarray, words: np.ndarray, tiles: int):
+        self.units, self.words, self.tiles = units, words[:, 0], tiles
         names = phrase_codes(list(units.T)) if len(units) else np.zeros(0, np.uint64)
         self.unit_order, self.word_order = np.argsort(names), np.argsort(self.words)
         self.unit_names, self.word_names = names[self.unit_order], self.words[self.word_order]
         self.dense = np.zeros(len(units) * len(words), np.int64)
-        self.size = units.shape[1] + 1
         self._clear()
 
     def _clear(self) -> None:
@@ -225,31 +227,64 @@ class Tiles:
         words = np.concatenate([p[2] for p in self.parts], axis=1)[:, first]
         self.parts, self.cells = [(code, n, words)], len(code)
 
-    def batches(self, words: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for start in range(0, len(n), 50_000):
-            part = slice(start, start + 50_000)
-            arrays = [pa.array(np.ascontiguousarray(w[part]).view(np.int64)) for w in words]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n[part].astype(np.int64))], names=[*_columns(self.size), "n"])
+    def blocks(self, code: np.ndarray, words: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """(tile, words, n): the cells of each tile as arrays."""
+        tile = (code % np.uint64(self.tiles)).astype(np.int64)
+        order = np.argsort(tile, kind="stable")
+        tile, words, n = tile[order], words[:, order], n[order].astype(np.int64)
+        starts = np.flatnonzero(np.diff(tile, prepend=-1))
+        ends = np.append(starts[1:], len(tile))
+        for at in range(0, len(starts), 200):
+            spans = list(zip(starts[at : at + 200], ends[at : at + 200], strict=True))
+            yield pa.record_batch(
+                {
+                    "tile": pa.array([tile[a] for a, _ in spans], pa.int64()),
+                    "words": pa.array([words[:, a:b].tobytes() for a, b in spans], pa.binary()),
+                    "n": pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()),
+                }
+            )
 
     def overflow(self, most: int = HELD_CELLS) -> Iterator[pa.RecordBatch]:
         """Hand the sparse cells on once more than ``most`` are held."""
         if self.cells > most:
             self.merge()
             if 2 * self.cells > most:
-                yield from self.batches(self.parts[0][2], self.parts[0][1])
+                code, n, words = self.parts[0]
+                yield from self.blocks(code, words, n)
                 self._clear()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         """All that is left: the sparse cells and the dense tile."""
         if self.parts:
             self.merge()
-            yield from self.batches(self.parts[0][2], self.parts[0][1])
+            code, n, words = self.parts[0]
+            yield from self.blocks(code, words, n)
         cell = np.flatnonzero(self.dense)
         row, column = np.divmod(cell, max(len(self.words), 1))
-        yield from self.batches(np.stack([*self.units[row].T, self.words[column]]), self.dense[cell])
+        words = np.stack([*self.units[row].T, self.words[column]])
+        yield from self.blocks(phrase_codes(list(words)), words, self.dense[cell])
 
 
-def phrases(texts: DataFrame, size: int, frequent: DataFrame, words: np.ndarray, least: int = LEAST) -> DataFrame:
+def _added_up(size: int, least: int):
+    """Adds up the blocks of one tile; cells with at least ``least`` stay."""
+
+    def add(blocks: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(b, np.uint64).reshape(size, -1) for b in blocks.column("words").to_pylist()]
+        words = np.concatenate(parts, axis=1)
+        n = np.concatenate([np.frombuffer(b, np.int64) for b in blocks.column("n").to_pylist()])
+        code, first, place = np.unique(phrase_codes(list(words)), return_index=True, return_inverse=True)
+        total = np.zeros(len(code), np.int64)
+        np.add.at(total, place, n)
+        enough = total >= least
+        arrays = [pa.array(np.ascontiguousarray(w[first[enough]]).view(np.int64)) for w in words]
+        return pa.table([*arrays, pa.array(total[enough])], names=[*_columns(size), "n"])
+
+    return add
+
+
+def phrases(
+    texts: DataFrame, size: int, frequent: DataFrame, words: np.ndarray, tiles: int, least: int = LEAST
+) -> DataFrame:
     """(w1..w``size``, n) of the phrases that occur ``least`` times.
 
     ``frequent`` has those of one word less; ``words`` are the ranked words.
@@ -260,7 +295,7 @@ def phrases(texts: DataFrame, size: int, frequent: DataFrame, words: np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, units, ranked = sent.value
-        tiles = Tiles(units, ranked)
+        counts = Tiles(units, ranked, tiles)
         codes: dict[str, Codes] = {}
         for lang, group in _texts_by_lang(batches):
             if sum(map(len, codes.values())) > HELD_WORDS:
@@ -278,13 +313,13 @@ def phrases(texts: DataFrame, size: int, frequent: DataFrame, words: np.ndarray,
             shorter = phrase_codes([code[i : i + count + 1] for i in range(size - 1)])
             hit = _marked(bitmap, shorter)
             at = np.flatnonzero(hit[:-1] & hit[1:] & (piece[:count] == piece[size - 1 :]))
-            tiles.add(shorter[at], [code[at + i] for i in range(size)])
-            yield from tiles.overflow()
-        yield from tiles.rest()
+            counts.add(shorter[at], [code[at + i] for i in range(size)])
+            yield from counts.overflow()
+        yield from counts.rest()
 
+    blocks = map_arrow(texts, run, "tile long, words binary, n binary")
     schema = ", ".join(f"{c} long" for c in [*_columns(size), "n"])
-    found = map_arrow(texts, run, schema).groupBy(*_columns(size)).agg(F.sum("n").alias("n"))
-    return found.filter(F.col("n") >= least)
+    return blocks.groupBy("tile").applyInArrow(_added_up(size, least), schema)
 
 
 def _scored(found: dict[int, DataFrame], size: int) -> DataFrame:
@@ -339,8 +374,10 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST) -> DataFra
     frequent = stored(known.filter(F.col("n") >= least).withColumnRenamed("code", "w1"), "frequent-words")
     words = _ranked(frequent, 1)
     found = {1: frequent.select("w1", "n")}
+    total = known.agg(F.sum("n")).first()[0] or 0
+    tiles = max(LEAST_TILES, total // TILE_WORDS)
     for size in range(2, LONGEST + 1):
-        found[size] = stored(phrases(texts, size, found[size - 1], words, least), f"phrases-{size}")
+        found[size] = stored(phrases(texts, size, found[size - 1], words, tiles, least), f"phrases-{size}")
     parts = []
     for size in range(2, LONGEST + 1):
         part = _scored(found, size)
