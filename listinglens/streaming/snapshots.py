@@ -17,9 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -56,7 +55,7 @@ PRICE_CHANGE = T.StructType(
     ]
 )
 PLACE = ["run_id", "page_no", "pos"]
-ADVERT = "run_id long, page_no long, pos long, price long, at long"
+ADVERT = "run_id long, page_no long, pos long, price long, at long, given boolean"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -175,47 +174,38 @@ def stream_ingest(
 class PriceSteps(StatefulProcessor):
     """The price steps of one listing.
 
-    State: the place and price last given out, and the adverts of open runs as
-    they came. Adverts are appended chunk by chunk and put in order when the
-    watermark passes their run.
+    State: the advert last given out and those of open runs, as they came; they
+    are put in order when the watermark passes their run. One list holds them
+    all, as each call to the state is a round trip to the JVM.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", ADVERT)
-        self.held = handle.getListState("held", ADVERT)
+        self.adverts = handle.getListState("adverts", ADVERT)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if key[0] is not None:  # closings have no key: they only move the watermark
-            for chunk in rows:
-                adverts = list(chunk[[*PLACE, "price", "at"]].itertuples(index=False, name=None))
-                self.held.appendList([tuple(map(int, a)) for a in adverts])
-                for at in {int(a[-1]) for a in adverts}:
-                    self.handle.registerTimer(at)
+            adverts = [(r["run_id"], r["page_no"], r["pos"], r["price"], r["at"], False) for r in rows]
+            self.adverts.appendList(adverts)
+            for at in {a[4] for a in adverts}:
+                self.handle.registerTimer(at)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         closed = expiredTimerInfo.getExpiryTimeInMs()
-        held = [tuple(a) for a in self.held.get()]
-        due = sorted(a for a in held if a[-1] <= closed)
-        rest = [a for a in held if a[-1] > closed]
+        held = [tuple(a) for a in self.adverts.get()]
+        given = [a for a in held if a[5]]
+        due = sorted(a for a in held if not a[5] and a[4] <= closed)
         if not due:
             return
-        if rest:
-            self.held.put(rest)
-        else:
-            self.held.clear()
-        old = self.last.get()[3] if self.last.exists() else None
-        steps = []
-        for run_id, page_no, pos, price, _ in due:
+        self.adverts.put([(*due[-1][:5], True), *[a for a in held if not a[5] and a[4] > closed]])
+        old = given[0][3] if given else None
+        step = Row(*PRICE_CHANGE.names)
+        for run_id, page_no, pos, price, _, _ in due:
             if price != old:
                 drop = (old - price) / old * 100.0 if old is not None and 0 < price < old else None
-                steps.append((*key, run_id, page_no, pos, old, price, drop))
+                yield step(*key, run_id, page_no, pos, old, price, drop)
             old = price
-        self.last.update(due[-1])
-        if steps:
-            out = pd.DataFrame(steps, columns=PRICE_CHANGE.names)
-            yield out.astype({"old_price": "Int64", "drop_pct": "Float64"})
 
     def close(self) -> None:
         pass
@@ -244,7 +234,7 @@ def stream_price_changes(
         past = F.col("run_ts") + F.expr(f"INTERVAL {patience}") + F.expr("INTERVAL 1 SECOND")
         adverts = adverts.unionByName(closings.select(past.alias("run_ts")), allowMissingColumns=True)
     keyed = adverts.withWatermark("run_ts", patience).withColumn("at", F.unix_millis("run_ts"))
-    return keyed.groupBy(*KEY).transformWithStateInPandas(PriceSteps(), PRICE_CHANGE, "append", "eventTime")
+    return keyed.groupBy(*KEY).transformWithState(PriceSteps(), PRICE_CHANGE, "append", "eventTime")
 
 
 def start_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
