@@ -78,19 +78,28 @@ def broadcast_within(df: DataFrame, row_bytes: Column | int, limit: int = BROADC
     return F.broadcast(df) if size <= limit else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``ids`` (one column, may repeat).
 
     Rows alike in doc_id and text are reduced to one; only those whose id
     repeats are compared.
     """
-    counted = stored(ids.toDF("_keep").groupBy("_keep").agg(F.count(F.lit(1)).alias("_n")), "keep")
-    kept = docs.join(broadcast_within(counted, 16), docs["doc_id"].eqNullSafe(F.col("_keep")))
-    once = kept.filter("_n = 1").select(*docs.columns)
-    again = counted.filter("_n > 1")
+    keep, n = free_name(docs, "_keep"), free_name(docs, "_n")
+    counted = stored(ids.toDF(keep).groupBy(keep).agg(F.count(F.lit(1)).alias(n)), "keep")
+    kept = docs.join(broadcast_within(counted, 16), docs["doc_id"].eqNullSafe(F.col(keep)))
+    once = kept.filter(F.col(n) == 1).select(*docs.columns)
+    again = counted.filter(F.col(n) > 1)
     if again.isEmpty():
         return once
-    repeated = kept.filter("_n > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    repeated = kept.filter(F.col(n) > 1).select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(repeated)
 
 
@@ -140,6 +149,19 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+#: What a module keeps in a Python worker between its tasks: how to drop it, by module.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def let_go(module: str) -> None:
+    """Drop what tasks of other modules than ``module`` have left in this worker."""
+    others = [drop for name, drop in KEPT.items() if name != module]
+    for drop in others:
+        drop()
+    if others:
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on between tasks."""
     pa.default_memory_pool().release_unused()
@@ -153,6 +175,7 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     ship_package(df.sparkSession)
 
     def run(batches):
+        let_go(function.__module__)
         yield from function(batches)
         give_back()
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listinglens.llm.base import broadcast_within, map_arrow, query, ship_package, stored, table
+from listinglens.llm.base import broadcast_within, free_name, map_arrow, query, ship_package, stored, table
 from listinglens.llm.words import WordRows, in_groups
 
 WINDOW = 5
@@ -118,11 +118,13 @@ class Templates:
         starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
         sizes = np.diff(np.r_[starts, len(text)])
         hashes = np.zeros(len(code), np.uint64)
+        ahead = np.concatenate([code, np.zeros(self.window, np.uint64)])
+        short = bool((sizes < self.window).any())
         left = np.repeat(starts + sizes, sizes) - np.arange(len(code))  # words to the end of the text
         width = np.minimum(self.window, np.repeat(sizes, sizes))
         for j in range(self.window):
-            at = np.minimum(np.arange(len(code)) + j, len(code) - 1)
-            hashes = np.where(j < width, (hashes ^ code[at]) * _MULTIPLIER, hashes)
+            mixed = (hashes ^ ahead[j : j + len(code)]) * _MULTIPLIER
+            hashes = np.where(j < width, mixed, hashes) if short else mixed
             hashes ^= hashes >> np.uint64(31)
         first = np.flatnonzero(left >= width)
         return hashes[first].view(np.int64), first
@@ -185,7 +187,10 @@ def _align(own: Templates, template: tuple, flat: list[str], coverage: float) ->
     def turned_slots(a: int, b: int, diagonal: int) -> list[tuple[int, str, str]]:
         return slots(split - 1 - b, split - 1 - a, len(doc_hash) - split - diagonal)
 
-    for kind in ("verbatim", "reparameterised"):
+    # Placeholders alone look alike in any text: only windows with a word tell a template.
+    worded = np.convolve(code[:cut] > _UNIT, np.ones(min(window, cut), int))[min(window, cut) - 1 :][:split] > 0
+    kinds = ("verbatim", "reparameterised") if worded.sum() >= coverage * split else ("verbatim",)
+    for kind in kinds:
         got = [_chain(r, f, coverage * split, kind == "verbatim") for r, f in ((runs, slots), (turned, turned_slots))]
         if max(got):
             return max(got) / split, kind
@@ -357,8 +362,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an item of the benchmark."""
-    leaks = find_leaks(docs, benchmark).select(F.col("row_key").alias("_leak")).distinct()
-    return docs.join(broadcast_within(leaks, 8), F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_leak"), "left_anti")
+    leak = free_name(docs, "_leak")
+    leaks = find_leaks(docs, benchmark).select(F.col("row_key").alias(leak)).distinct()
+    return docs.join(broadcast_within(leaks, 8), F.xxhash64(docs["doc_id"], docs["text"]) == F.col(leak), "left_anti")
 
 
 @query("op6_decontaminate")

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listinglens.llm.base import broadcast_within, query, stored, table
+from listinglens.llm.base import broadcast_within, free_name, query, stored, table
 
 WEIGHTS = (3, 1, 2)
 RATIO = 1.5
@@ -158,17 +158,16 @@ def mix(
 ) -> DataFrame:
     """One row per document: doc_id, sources, size, taken_for, copies, taken, ``extra``.
 
-    ``docs`` has ``source`` or an array ``sources`` (of a document in several of
-    them). size counts words, a null text has none. ``taken_for`` names the
+    ``docs`` has ``source`` or an array of strings ``sources`` (of a document in
+    several of them). size counts words, a null text has none. ``taken_for`` names the
     source of each use, ``taken`` is copies times size. Every source's words
     come within a document of its target at each end of a stretch, no document
     is used more than ``uses`` times, and a rerun takes the same documents. A
     null source is a source of its own; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    sources = (
-        F.array_sort(F.array_distinct("sources")) if "sources" in docs.columns else F.array(F.col("source").cast("string"))
-    )
+    several = "sources" in docs.columns and docs.schema["sources"].dataType.simpleString() == "array<string>"
+    sources = F.array_sort(F.array_distinct("sources")) if several else F.array(F.col("source").cast("string"))
     sized = stored(
         docs.select(
             "doc_id",
@@ -243,17 +242,18 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
 
     Rows alike in doc_id and text are used as often as they are all together.
     """
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    mixed = mix(marked, extra=["_row"], **options)
+    row, copies, n, use = (free_name(docs, c) for c in ("_row", "_copies", "_n", "_use"))
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    mixed = mix(marked, extra=[row], **options)
     used = stored(
-        mixed.groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n")).filter("_copies > 0"),
+        mixed.groupBy(row).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(n)).filter(F.col(copies) > 0),
         "mix-used",
     )
-    if not used.filter("_n > 1").isEmpty():
-        marked = marked.dropDuplicates(["_row"])
+    if not used.filter(F.col(n) > 1).isEmpty():
+        marked = marked.dropDuplicates([row])
     return (
-        marked.join(broadcast_within(used, 20), "_row")
-        .withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        marked.join(broadcast_within(used, 20), row)
+        .withColumn(use, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
         .select(*docs.columns)
     )
 

@@ -95,7 +95,7 @@ class Window:
 
 
 def _kind_of(token: str) -> str:
-    if token.isdigit():
+    if token.isdecimal():
         return f"d{min(len(token), 20)}"
     low = token.lower()
     return "AT" if low in AT_WORDS else "DOT" if low in DOT_WORDS else "a" if token[0].isalpha() else token
@@ -109,8 +109,8 @@ def _features(text: str, tokens: list[tuple[int, int]], names: list[str], i: int
         shape.append(names[k])
     fine = "".join(shape)
     coarse = re.sub(r"d\d+", "d", fine)
-    digits = "".join(text[a:b] for a, b in tokens[i:j] if text[a:b].isdigit())
-    groups = [text[a:b] for a, b in tokens[i:j] if text[a:b].isdigit()]
+    digits = "".join(text[a:b] for a, b in tokens[i:j] if text[a:b].isdecimal())
+    groups = [text[a:b] for a, b in tokens[i:j] if text[a:b].isdecimal()]
     left = "^" if i == 0 else names[i - 1][0] + " " * (tokens[i][0] > tokens[i - 1][1])
     right = "$" if j == len(tokens) else " " * (tokens[j][0] > tokens[j - 1][1]) + names[j][0]
     at = re.search("AT|@", coarse)

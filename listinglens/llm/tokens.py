@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from listinglens.llm.base import map_arrow, query, table
+from listinglens.llm.base import KEPT, map_arrow, query, table
 from listinglens.llm.words import runs
 from listinglens.session import scratch_path
 
@@ -193,6 +193,14 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def _forget() -> None:
+    _ENCODERS.clear()
+    _tokenizer.cache_clear()
+
+
+KEPT[__name__] = _forget
+
+
 def _encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
