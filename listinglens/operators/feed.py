@@ -336,6 +336,24 @@ def get_clusters_by_id(
     return with_status(cards, settings).orderBy(*feed_order("newest"))
 
 
+def answer_request(
+    params: Mapping[str, Sequence[str]],
+    listings: DataFrame,
+    clusters: DataFrame,
+    stations: DataFrame,
+    places: DataFrame,
+    run_ts: Column,
+    settings: Settings = DEFAULTS,
+    exact: bool = True,
+) -> DataFrame:
+    """The cards that query parameters ask for: those of the given ids, else a feed page."""
+    filters, ids = parse_feed_params(params)
+    if not ids:
+        return get_clusters(listings, clusters, stations, places, filters, run_ts, settings, exact)
+    named = listings.sparkSession.createDataFrame([(i,) for i in ids], "cluster_id long")
+    return get_clusters_by_id(listings, clusters, stations, places, named, run_ts, settings)
+
+
 def paginate(df: DataFrame, page: int, size: int, order: Sequence[Column]) -> DataFrame:
     """Rows of a zero-based page, with ``total`` and ``pages``; ``order`` must be unique."""
     total = df.agg(F.count("*")).scalar()

@@ -7,6 +7,7 @@ be run again with the same version number.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,7 @@ from listinglens.schemas import (
     IMAGE_HASHES,
     LISTINGS,
     PRICE_HISTORY,
+    SCORE_COLUMNS,
     conform,
 )
 from listinglens.session import cut_lineage
@@ -138,12 +140,13 @@ class Nightly:
         write_table(assign_clusters(listings, components), self.root, "clustered", self.version)
 
     def score(self) -> DataFrame:
-        """Scores of active listings; inactive ones are carried over unscored."""
+        """Scores of active listings; delisted ones keep the last they had."""
         listings = self.table("clustered", LISTINGS)
         scored = score(
             listings, self.history(), self.hashes(), self.run_ts, self.settings
         )
-        idle = listings.filter("not is_active")
+        last = self.before("scored", LISTINGS).select("id", *SCORE_COLUMNS)
+        idle = listings.filter("not is_active").drop(*SCORE_COLUMNS).join(last, "id", "left")
         write_table(
             conform(scored, LISTINGS).unionByName(conform(idle, LISTINGS)),
             self.root,
@@ -166,3 +169,15 @@ class Nightly:
             self.settings,
             exact=exact,
         )
+
+    def request(self, params: Mapping[str, Sequence[str]], stations: DataFrame, places: DataFrame) -> DataFrame:
+        """The answer to a request with query parameters, over the newest scored tables."""
+        return feed_ops.answer_request(
+            params,
+            self.table("scored", LISTINGS),
+            self.table("clusters", CLUSTERS),
+            stations,
+            places,
+            self.run_ts,
+            self.settings,
+        )

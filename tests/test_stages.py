@@ -379,3 +379,22 @@ def test_nightly_run_from_payloads(spark):
     page = run.feed(FeedFilters(limit=20), X.stations(spark, SF), X.places(spark, SF)).collect()
     assert [r["position"] for r in page] == list(range(1, len(page) + 1)) and page
     assert all(r["member_count"] == len(r["members"]) for r in page)
+
+
+def test_delisted_listings_keep_their_scores(spark):
+    root = scratch_path(spark, "delisted")
+    nights = [Nightly(spark, root, v, F.lit(f"2001-08-0{v}").cast("timestamp")) for v in (1, 2)]
+    for night in nights:
+        listings = X.listings(spark, SF).withColumn("is_active", F.lit(night.version == 1) | (F.col("id") % 3 > 0))
+        write_table(listings, root, "listings", night.version)
+        append_run(X.image_hashes(spark, SF), root, "image_hashes", 1)
+        append_run(X.price_history(spark, SF), root, "price_history", 1)
+        night.bucket(X.areas(spark, SF))
+        night.dedupe()
+        night.score()
+    columns = ["id", "bucket_key", "percentile", "scam_score", "scored_at"]
+    first, second = (read_table(spark, root, "scored", version=v).select(columns) for v in (1, 2))
+    gone = F.col("id") % 3 == 0
+    assert sorted(first.filter(gone).collect(), key=str) == sorted(second.filter(gone).collect(), key=str)
+    assert first.filter(gone & F.col("scored_at").isNotNull()).count() > 0
+    assert second.filter(~gone).agg(F.min("scored_at")).first()[0] > first.agg(F.max("scored_at")).first()[0]

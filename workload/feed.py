@@ -16,7 +16,7 @@ from listinglens.operators import feed as Q
 from listinglens.operators.duplicates import build_clusters
 from listinglens.settings import Anchor, Settings
 from workload import fixtures as X
-from workload.base import block, query, staged
+from workload.base import ORACLES, block, query, staged
 from workload.geo import CLASS_SQL, haversine_sql, lambert_sql
 
 ANCHOR = Settings(anchor=Anchor(49.2, 16.6, "Office"))
@@ -247,6 +247,45 @@ def _(spark, sf):
     )
 
 
+#: What the parameters of "feed_filtered" look like in a request; what cannot be read is passed over.
+REQUEST = {
+    "maxPrice": ["4e6"],
+    "minUsable": ["60"],
+    "maxUsable": [" 180 "],
+    "minLand": ["0xC8"],
+    "maxPrague": ["far"],
+    "source": ["beta", "gamma"],
+    "kind": ["rodinny_dum"],
+    "verdict": ["bargain"],
+    "fresh": ["yes"],
+    "sort": ["priceDesc"],
+}
+
+
+def request(spark, sf, params):
+    homes, clusters = homes_and_clusters(spark, sf)
+    return Q.answer_request(
+        params, homes, clusters, X.stations(spark, sf), X.places(spark, sf), X.run_ts(), ANCHOR
+    )
+
+
+@query("feed_request", ORACLES["feed_filtered"])
+def _(spark, sf):
+    return shown(request(spark, sf, REQUEST))
+
+
+@query(
+    "feed_request_ids",
+    """SELECT cluster_id, listing_id, price, member_count FROM card
+       WHERE cluster_id % 7 = 0 AND cluster_id BETWEEN 0 AND 700""",
+)
+def _(spark, sf):
+    """Ids in a request come before its filters; odd ones are passed over."""
+    ids = [*[str(i) for i in range(0, 701, 7)], "x", "7.5", "1e400"]
+    cards = request(spark, sf, {**REQUEST, "id": ids})
+    return cards.select("cluster_id", "listing_id", "price", "member_count")
+
+
 @query(
     "cluster_members",
     "SELECT cluster_id, source, source_id, url, price, id FROM house WHERE cluster_id IS NOT NULL",

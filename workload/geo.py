@@ -8,7 +8,7 @@ from listinglens.functions.geo import geodesic_m, haversine_km
 from listinglens.functions.listing import distance_to_centre_km, settlement_class
 from listinglens.operators.nearest import nearest_station, place_info
 from listinglens.session import scratch_path
-from listinglens.sources.tables import load_stations
+from listinglens.sources.tables import load_places, load_stations
 from workload import fixtures as X
 from workload.base import block, query
 
@@ -154,22 +154,32 @@ def _(spark, sf):
     )
 
 
+def static_lists(df, name, fields):
+    """``df`` (ord, ...) written as JSON arrays of 50 entries, one per file; the path."""
+    path = scratch_path(df.sparkSession, name)
+    chunks = (
+        df.withColumn("chunk", F.expr("lpad(cast(ord div 50 as string), 8, '0')"))
+        .groupBy("chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("ord", *fields))).alias("entries"))
+    )
+    plain = F.transform("entries", lambda e: F.struct(*[e[f].alias(f) for f in fields]))
+    chunks.select("chunk", F.to_json(plain).alias("value")).write.partitionBy("chunk").text(path)
+    return path
+
+
 @query(
     "load_stations",
     "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, name, lat, lng FROM station",
 )
 def _(spark, sf):
-    """Stations written as JSON arrays of 50, one per file, and read back as the static list."""
-    path = scratch_path(spark, "stations")
-    entry = F.struct("ord", "name", "lat", "lng")
-    chunks = (
-        X.stations(spark, sf)
-        .withColumn("chunk", F.expr("lpad(cast(ord div 50 as string), 8, '0')"))
-        .groupBy("chunk")
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    )
-    plain = lambda e: F.struct(e["name"].alias("name"), e["lat"].alias("lat"), e["lng"].alias("lng"))
-    chunks.select("chunk", F.to_json(F.transform("entries", plain)).alias("value")).write.partitionBy(
-        "chunk"
-    ).text(path)
-    return load_stations(spark, path)
+    """Stations written as JSON and read back as the static list."""
+    return load_stations(spark, static_lists(X.stations(spark, sf), "stations", ["name", "lat", "lng"]))
+
+
+@query(
+    "load_places",
+    "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, name, lat, lng, pop, type FROM place",
+)
+def _(spark, sf):
+    fields = ["name", "lat", "lng", "pop", "type"]
+    return load_places(spark, static_lists(X.places(spark, sf), "places", fields))
