@@ -1,12 +1,16 @@
 """Time the headline stages and print one JSON line.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
+
+Each stage runs BENCH_RUNS times (2); the first run warms up, the median of the
+others counts.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -38,6 +42,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     wanted = set(sys.argv[1:])
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     times: dict[str, float] = {}
 
     def stored(df, name):
@@ -48,9 +53,12 @@ def main() -> None:
     def timed(name, run):
         if wanted and name not in wanted:
             return
-        started = time.perf_counter()
-        run().write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - started, 3)
+        took = []
+        for _ in range(runs):
+            started = time.perf_counter()
+            run().write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - started)
+        times[name] = round(statistics.median(took[1:] or took), 3)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
 
     # Stage inputs are stored tables, as between the stages of a nightly run.
