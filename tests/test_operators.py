@@ -226,6 +226,16 @@ def test_nearest_anywhere_on_the_globe(spark):
     assert tied["ord"] == 42
 
 
+def test_nearest_compares_few_of_dense_references(spark):
+    from listinglens.operators.nearest import CUBE, _cubes, candidates
+
+    dim = [(i, 50 + i // 20 * 0.0027, 14 + i % 20 * 0.0042) for i in range(400)]  # 300 m apart
+    ddf = spark.createDataFrame(dim, "ord long, lat double, lng double")
+    point = spark.createDataFrame([(50.026, 14.042)], "lat double, lng double")
+    cubes = point.select(*[c.alias(n) for c, n in zip(_cubes(F.col("lat"), F.col("lng")), CUBE)])
+    assert 1 <= candidates(cubes, ddf).count() < 200
+
+
 def test_percentile_levels_and_mean(spark):
     rows = [("A", "<80", v) for v in range(1, 9)]  # 8 samples: bucket of its own
     rows += [("B", "<80", 3), ("B", "80-120", 7)]  # falls back to the band, then to all
