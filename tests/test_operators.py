@@ -61,6 +61,28 @@ def test_similar_values_is_exact(spark, hot_rows):
     assert got == want and want
 
 
+def test_similar_values_in_tiles_and_pieces(spark, monkeypatch):
+    """Tiles named by some bits and cut into pieces give each pair once, for two sides that overlap."""
+    from listinglens.operators import hamming
+
+    monkeypatch.setattr(hamming, "PIECE_FACTOR", 1)
+    monkeypatch.setattr(hamming, "_tile_bits", lambda values: 3)
+    rng = random.Random(5)
+    values = []
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        for _ in range(8):
+            value = base
+            for bit in rng.sample(range(64), rng.choice([0, 4, 8])):
+                value ^= 1 << bit
+            values.append(value)
+    left, right = values[:60], values[30:]
+    frames = [spark.createDataFrame([(signed(v),) for v in s] + [(None,)], "dhash long") for s in (left, right)]
+    got = [(r["a"], r["b"]) for r in similar_values(*frames, replace(DEFAULTS, hot_key_rows=9)).collect()]
+    want = {(signed(a), signed(b)) for a in left for b in right if a != b and bits(a, b) <= 10}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_match_union_find(spark, seed):
     rng = random.Random(seed)
