@@ -83,6 +83,19 @@ def test_similar_values_in_tiles_and_pieces(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_candidates_do_not_meet_across_floor_areas(spark):
+    """Adverts of one point only meet those of about their floor area."""
+    rows = [(i, "sell", 20 + 40 * (i % 10), 50.0, 14.0, True, None, 1) for i in range(100)]
+    base = duplicates.comparable(make_listings(spark, rows))
+    left, right = duplicates.in_band(base), duplicates.in_reached_bands(base)
+    assert left.count() == 100 and right.count() <= 200
+    assert left.select("area_band").join(right.select("area_band"), "area_band").count() < 100 * 100 / 2
+    got = {(r["a_id"], r["b_id"]) for r in duplicates.dedupe_candidates(make_listings(spark, rows)).collect()}
+    areas = {r[0]: r[2] for r in rows}
+    near = lambda x, y: abs(x - y) <= 0.1 * max(x, y)
+    assert got == {(a, b) for a in areas for b in areas if a < b and near(areas[a], areas[b])}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_match_union_find(spark, seed):
     rng = random.Random(seed)
