@@ -6,6 +6,7 @@ import math
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,42 @@ def test_similar_values_in_tiles_and_pieces(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_crowded_codes_are_split_by_the_band_beside(monkeypatch):
+    """Values that share a band's code are not all compared, and no similar pair is lost."""
+    from listinglens.operators import hamming
+
+    compared, pairs_of = [0], hamming._compared
+
+    def counted(left, right, *rest):
+        compared[0] += len(left) * len(right)
+        return pairs_of(left, right, *rest)
+
+    monkeypatch.setattr(hamming, "_compared", counted)
+    monkeypatch.setattr(hamming, "CROWD", 1000)
+    rng = np.random.default_rng(5)
+    for band in range(hamming.BANDS):
+        crowded = rng.integers(0, 2**64, 1500, dtype=np.uint64) & ~hamming._bits(band, 3)
+        near = crowded[:300].copy()
+        for _ in range(9):
+            near ^= np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)
+        values = np.unique(np.concatenate([crowded, near]))
+        want = {
+            (a, b)
+            for a, row in zip(values.tolist(), np.bitwise_count(values[:, None] ^ values[None, :]) <= 10)
+            for b in values[row].tolist()
+            if a < b
+        }
+        got = []
+        for turn in range(hamming.BANDS):
+            before = compared[0]
+            a, b = hamming._fresh(hamming._near_pairs(values, values, turn, 10, once=True), turn)
+            got += [(min(p), max(p)) for p in zip(a.tolist(), b.tolist())]
+            if turn == band:
+                # Eight codes hold most values; nearly all of them are within the radius of each other.
+                assert compared[0] - before < 0.35 * len(values) ** 2
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
 def test_candidates_do_not_meet_across_floor_areas(spark):
     """Adverts of one point only meet those of about their floor area."""
     rows = [(i, "sell", 20 + 40 * (i % 10), 50.0, 14.0, True, None, 1) for i in range(100)]
