@@ -120,6 +120,28 @@ def test_crowded_codes_are_split_by_the_band_beside(monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
 
 
+def test_duplicate_pairs_are_judged_where_they_meet(spark):
+    """As candidates and photos joined one after the other, but no candidate pair is shuffled."""
+    rows = [(i, "sell", 100 + i % 3, 50.0, 14.0, True, None, 1) for i in range(40)]
+    ldf = make_listings(spark, rows)
+    photos = [(i, p, (i % 8) * 0x1111111111111 + p * 0x7777 if i else None) for i in range(40) for p in range(2)]
+    hdf = spark.createDataFrame([(i, p, h) for i, p, h in photos], "listing_id long, position int, dhash long")
+    pairs = duplicates.duplicate_pairs(ldf, hdf)
+    got = [tuple(r) for r in pairs.collect()]
+    known = {i: [h for j, _, h in photos if j == i and h is not None] for i in range(40)}
+    want = {
+        (a, b)
+        for a in range(40)
+        for b in range(a + 1, 40)
+        if any(bits(x, y) <= 10 for x in known[a] for y in known[b])
+    }
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert {tuple(r) for r in duplicates.shared_photo(duplicates.dedupe_candidates(ldf), hdf).collect()} == want
+    # Nothing but the two sides of the cells is joined.
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
+
+
 def test_candidates_do_not_meet_across_floor_areas(spark):
     """Adverts of one point only meet those of about their floor area."""
     rows = [(i, "sell", 20 + 40 * (i % 10), 50.0, 14.0, True, None, 1) for i in range(100)]
