@@ -10,15 +10,16 @@ run is closed:
   one version of the table.
 * :func:`stream_price_changes` holds the adverts of open runs in keyed state.
   The rows that close a run move the watermark past it, upon which a timer of
-  each listing gives that run's price steps.
+  each group of listings gives that run's price steps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -55,7 +56,12 @@ PRICE_CHANGE = T.StructType(
     ]
 )
 PLACE = ["run_id", "page_no", "pos"]
-ADVERT = "run_id long, page_no long, pos long, price long, at long, given boolean"
+#: Adverts of a batch, and listings with the price last given out: one row of arrays a group.
+ADVERTS = """source array<string>, source_id array<string>, run_id array<long>, page_no array<long>, pos array<long>,
+    price array<long>, at array<long>"""
+GIVEN = "source array<string>, source_id array<string>, price array<long>"
+#: Groups that listings are held in. Stored streams have it in their state: do not change it.
+GROUPS = 4096
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -171,41 +177,75 @@ def stream_ingest(
 # --- price changes ---------------------------------------------------------
 
 
+def _whole(column: pd.Series) -> list[int | None]:
+    """Numbers of a column; pandas turns them into floats where some are missing."""
+    if column.dtype.kind == "i":
+        return column.tolist()
+    return [None if pd.isna(x) else int(x) for x in column.tolist()]
+
+
+def _in_order(advert: tuple) -> list[tuple[bool, int]]:
+    return [(x is not None, x or 0) for x in advert]
+
+
 class PriceSteps(StatefulProcessor):
-    """The price steps of one listing.
+    """The price steps of a group of listings.
 
-    State: the advert last given out and those of open runs, as they came; they
-    are put in order when the watermark passes their run. One list holds them
-    all, as each call to the state is a round trip to the JVM.
+    State: the adverts of open runs, as they came, and of each listing the price
+    last given out. Adverts are put in order when the watermark passes their run.
+    Each call to the state is a round trip to the JVM and each row of it is
+    pickled by itself, so the listings of a group share both.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.adverts = handle.getListState("adverts", ADVERT)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if key[0] is not None:  # closings have no key: they only move the watermark
-            adverts = [(r["run_id"], r["page_no"], r["pos"], r["price"], r["at"], False) for r in rows]
-            self.adverts.appendList(adverts)
-            for at in {a[4] for a in adverts}:
+        self.adverts = handle.getListState("adverts", ADVERTS)
+        self.given = handle.getValueState("given", GIVEN)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] >= 0:  # closings only move the watermark
+            ats = set()
+            for part in rows:
+                at = part["at"].tolist()
+                ats.update(at)
+                numbers = [_whole(part[c]) for c in (*PLACE, "price")]
+                self.adverts.appendValue((*[part[c].tolist() for c in KEY], *numbers, at))
+            for at in ats:
                 self.handle.registerTimer(at)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         closed = expiredTimerInfo.getExpiryTimeInMs()
-        held = [tuple(a) for a in self.adverts.get()]
-        given = [a for a in held if a[5]]
-        due = sorted(a for a in held if not a[5] and a[4] <= closed)
+        due: dict[tuple, list[tuple]] = {}
+        still = []
+        for held in self.adverts.get():
+            for advert in zip(*held, strict=True):
+                if advert[6] <= closed:
+                    due.setdefault(advert[:2], []).append(advert[2:6])
+                else:
+                    still.append(advert)
         if not due:
             return
-        self.adverts.put([(*due[-1][:5], True), *[a for a in held if not a[5] and a[4] > closed]])
-        old = given[0][3] if given else None
-        step = Row(*PRICE_CHANGE.names)
-        for run_id, page_no, pos, price, _, _ in due:
-            if price != old:
-                drop = (old - price) / old * 100.0 if old is not None and 0 < price < old else None
-                yield step(*key, run_id, page_no, pos, old, price, drop)
-            old = price
+        before = self.given.get() or ((), (), ())
+        given = dict(zip(zip(before[0], before[1], strict=True), before[2], strict=True))
+        steps = []
+        for listing, adverts in due.items():
+            old = given.get(listing)
+            for run_id, page_no, pos, price in sorted(adverts, key=_in_order):
+                if price != old:
+                    drop = (old - price) / old * 100.0 if old is not None and 0 < price < old else None
+                    steps.append((*listing, run_id, page_no, pos, old, price, drop))
+                old = price
+            given[listing] = old
+        self.given.update(([k[0] for k in given], [k[1] for k in given], list(given.values())))
+        if still:
+            self.adverts.put([tuple(map(list, zip(*still, strict=True)))])
+        else:
+            self.adverts.clear()
+        if steps:
+            columns = zip(PRICE_CHANGE.names, zip(*steps, strict=True), strict=True)
+            # Whole numbers stay whole beside missing ones.
+            yield pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns})
 
     def close(self) -> None:
         pass
@@ -227,14 +267,19 @@ def stream_price_changes(
     ``run_ts``. Start the result with :func:`start_stream`.
     """
     adverts = in_scope(snapshots, settings).filter(F.col("price").isNotNull()).select(
-        *KEY, *[F.col(c).cast("long").alias(c) for c in PLACE], "price", "run_ts"
+        *KEY,
+        *[F.col(c).cast("long").alias(c) for c in PLACE],
+        "price",
+        "run_ts",
+        F.pmod(F.xxhash64(*KEY), F.lit(GROUPS)).cast("int").alias("listings"),
     )
     if closings is not None:
         # A second past the run, after the patience is taken off.
         past = F.col("run_ts") + F.expr(f"INTERVAL {patience}") + F.expr("INTERVAL 1 SECOND")
-        adverts = adverts.unionByName(closings.select(past.alias("run_ts")), allowMissingColumns=True)
+        ends = closings.select(past.alias("run_ts"), F.lit(-1).alias("listings"))
+        adverts = adverts.unionByName(ends, allowMissingColumns=True)
     keyed = adverts.withWatermark("run_ts", patience).withColumn("at", F.unix_millis("run_ts"))
-    return keyed.groupBy(*KEY).transformWithState(PriceSteps(), PRICE_CHANGE, "append", "eventTime")
+    return keyed.groupBy("listings").transformWithStateInPandas(PriceSteps(), PRICE_CHANGE, "append", "eventTime")
 
 
 def start_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from listinglens.streaming.snapshots import (
     CLOSING,
     PRICE_CHANGE,
     SNAPSHOT,
+    PriceSteps,
     late_adverts,
     read_closings,
     read_snapshots,
@@ -250,6 +252,70 @@ def test_price_steps_wait_for_their_run(spark):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
 
 
+def test_listings_of_a_group_share_calls_to_the_state():
+    """Many listings, as many calls as one; adverts without a place come first."""
+    calls = []
+
+    class Held:
+        def __init__(self, schema):
+            self.rows = []
+
+        def get(self):
+            calls.append("get")
+            return list(self.rows) if self.many else (self.rows[0] if self.rows else None)
+
+        def appendValue(self, row):
+            calls.append("append")
+            self.rows.append(row)
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = list(rows)
+
+        def update(self, row):
+            self.put([row])
+
+        def clear(self):
+            self.put([])
+
+    class Handle:
+        def getListState(self, name, schema):
+            held = Held(schema)
+            held.many = True
+            return held
+
+        def getValueState(self, name, schema):
+            held = Held(schema)
+            held.many = False
+            return held
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    class Expired:
+        def __init__(self, at):
+            self.at = at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+    steps = PriceSteps()
+    steps.init(Handle())
+    many = 500
+    ids = [str(i) for i in range(many)]
+    first = pd.DataFrame({"source": "alpha", "source_id": ids, "run_id": 1, "page_no": 1, "pos": 0, "price": 1000, "at": 10})
+    again = first.assign(page_no=None, price=900)
+    second = first.assign(run_id=2, price=800, at=20)
+    assert list(steps.handleInputRows((3,), iter([first, again, second]), None)) == []
+    (one,) = steps.handleExpiredTimer((3,), None, Expired(10))
+    (two,) = steps.handleExpiredTimer((3,), None, Expired(20))
+    assert list(steps.handleExpiredTimer((3,), None, Expired(20))) == []
+    assert len(calls) < 20
+    pick = one[one["source_id"] == "7"][["run_id", "page_no", "old_price", "new_price"]].values.tolist()
+    assert pick == [[1, None, None, 900], [1, 1, 900, 1000]] and len(one) == 2 * many
+    assert sorted(two["source_id"]) == sorted(ids) and set(two["drop_pct"]) == {20.0}
+
+
 @pytest.mark.parametrize("strict, want", [(False, False), (True, True)])
 def test_failed_page_of_the_html_portal(spark, strict, want):
     stats = spark.createDataFrame(
