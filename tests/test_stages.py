@@ -481,3 +481,67 @@ def test_delisted_listings_keep_their_scores(spark):
     assert sorted(first.filter(gone).collect(), key=str) == sorted(second.filter(gone).collect(), key=str)
     assert first.filter(gone & F.col("scored_at").isNotNull()).count() > 0
     assert second.filter(~gone).agg(F.min("scored_at")).first()[0] > first.agg(F.max("scored_at")).first()[0]
+
+
+def _shuffles_of(df, column):
+    """How many shuffles of the plan carry ``column``."""
+    steps = _explained(df).split("\n\n")
+    return sum("Exchange" in s.split("\n")[0] and f"{column}#" in s for s in steps)
+
+
+def _explained(df):
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _stored(spark, df, name):
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_scoring_shuffles_whole_listings_once(spark, no_broadcasts):
+    from listinglens.operators.scoring import max_price_by_listing, score_signals
+
+    homes = _stored(spark, X.housed(X.bucketed(spark, SF)), "homes")
+    history = _stored(spark, X.price_history(spark, SF), "history")
+    stolen = homes.filter("id % 10 = 0").select(F.col("id").alias("listing_id"))
+    scored = score_signals(homes, max_price_by_listing(history), stolen, X.run_ts())
+    assert _shuffles_of(scored, "photos") == 1
+    assert scored.count() == homes.filter("is_active").count() > 0
+
+
+def test_whole_rows_are_dealt_in_bounded_parts(spark, monkeypatch):
+    from listinglens.operators import skew
+
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 100)
+    dealt = skew.by_key(spark.range(2_000), "id")
+    assert dealt.rdd.getNumPartitions() == 20
+    assert skew.by_key(spark.range(10), "id").rdd.getNumPartitions() == 4
+
+
+def test_prices_are_ranked_in_the_bucket_they_take_only(spark):
+    from listinglens.operators.percentile import chosen_buckets, price_cells, price_histogram
+
+    rows = [("A", "s", v) for v in range(8)] + [("B", "s", 1), ("", None, 5)]
+    samples = spark.createDataFrame(rows, "cadastral_code string, size_band string, price_per_usable_m2 int")
+    cells = price_cells(samples)
+    chosen = chosen_buckets(cells).select("level", "key")
+    assert {tuple(r) for r in chosen.collect()} == {(1, "A|s"), (3, "band:s"), (4, "all")}
+    histogram = price_histogram(cells, chosen.distinct())
+    # Whole buckets: the wider ones still count the prices of listings that have one of their own.
+    totals = {(r["level"], r["key"]): r["total"] for r in histogram.collect()}
+    assert totals == {(1, "A|s"): 8, (3, "band:s"): 9, (4, "all"): 10}
