@@ -533,6 +533,25 @@ def test_whole_rows_are_dealt_in_bounded_parts(spark, monkeypatch):
     assert skew.by_key(spark.range(10), "id").rdd.getNumPartitions() == 4
 
 
+def test_feed_pages_are_found_without_whole_listings(spark, no_broadcasts, monkeypatch):
+    from listinglens.operators import feed
+    from listinglens.operators.duplicates import build_clusters
+
+    homes = _stored(spark, X.scored_houses(spark, SF), "scored")
+    clusters = _stored(
+        spark, build_clusters(homes, homes.select("id", F.col("cluster_id").alias("component"))), "clusters"
+    )
+    stations, places, kept = X.stations(spark, SF), X.places(spark, SF), []
+    cut = feed.cut_lineage
+    monkeypatch.setattr(feed, "cut_lineage", lambda df: (kept.append(_shuffles_of(df, "photos")), cut(df))[1])
+    for filters in (feed.FeedFilters(limit=7), feed.FeedFilters(limit=7, sort="train", max_prague_km=60.0)):
+        kept.clear()
+        page = feed.get_clusters(homes, clusters, stations, places, filters, X.run_ts()).collect()
+        assert [r["position"] for r in page] == list(range(1, 8))
+        # The last frame kept is the page itself; what leads to it has no whole listings.
+        assert len(kept) > 1 and not any(kept[:-1])
+
+
 def test_prices_are_ranked_in_the_bucket_they_take_only(spark):
     from listinglens.operators.percentile import chosen_buckets, price_cells, price_histogram
 
