@@ -250,6 +250,50 @@ def test_duplicates_match_brute_force(spark, monkeypatch, crowd):
     assert {r["id"]: r["component"] for r in got.collect()} == components
 
 
+@pytest.mark.parametrize("group_rows", [50_000, 12])
+def test_links_across_districts_match_brute_force(spark, monkeypatch, group_rows):
+    """A street through several districts; with few rows allowed, some go by cells."""
+    monkeypatch.setattr(duplicates, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(duplicates, "BLOCK_PAIRS", 7)
+    rng = random.Random(8)
+    photos = [rng.getrandbits(64) for _ in range(3)]
+    listings, hashes = [], []
+    for i in range(160):
+        lat = 50.0 + rng.randrange(90) * 0.0003 if i % 4 else 50.01
+        kind = "rent" if rng.random() < 0.1 else "sell"
+        listings.append((i, kind, rng.choice([0, 40, 60, 64, 90]), lat, 14.0, rng.random() < 0.9, None, 1))
+        for position in range(2):
+            value = rng.choice(photos) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+            hashes.append((i, position, "u", signed(value) if rng.random() < 0.9 else None))
+    _, pairs = brute_pairs(listings, [(i, p, u, v) for i, p, u, v in hashes if v is not None])
+    ldf = make_listings(spark, listings)
+    hdf = spark.createDataFrame(hashes, "listing_id long, position int, url string, dhash long")
+    links = {tuple(r) for r in duplicates.duplicate_links(ldf, hdf).collect()}
+    active = [row[0] for row in listings if row[5]]
+    assert links <= pairs and union_find(active, links) == union_find(active, pairs)
+    assert any(listings[a][3] != listings[b][3] for a, b in links)
+
+
+def test_sights_are_dealt_out_about_once(spark, monkeypatch):
+    """Sights that no crowd surrounds go to 1.1 groups each, not to every cell and band around."""
+    rng = random.Random(8)
+    listings = [(i, "sell", rng.randint(40, 200), 49 + rng.random(), 14 + rng.random(), True, None, 1) for i in range(2000)]
+    hashes = [(i, 0, "u", signed(rng.getrandbits(64))) for i in range(2000)]
+    dealt, met = [], duplicates._met_in_districts
+
+    def counted(around, *rest):
+        dealt.append(around.count())
+        return met(around, *rest)
+
+    monkeypatch.setattr(duplicates, "_met_in_districts", counted)
+    links = duplicates.duplicate_links(
+        make_listings(spark, listings),
+        spark.createDataFrame(hashes, "listing_id long, position int, url string, dhash long"),
+    )
+    assert links.count() == 0 and 2000 <= dealt[0] < 1.4 * 2000
+    assert "area_band" not in links._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_copies_give_linear_links(spark):
     """A group of n identical adverts yields n-1 links, not all pairs."""
     rows = [(i, "sell", 70, 50.0, 14.0, True, None, 1) for i in range(300)]
