@@ -84,6 +84,20 @@ def test_similar_values_in_tiles_and_pieces(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+@pytest.mark.parametrize("values", [100, 10**6, 10**9])
+def test_values_go_to_eleven_tiles(values):
+    """However many values there are, each is sent 11 times, and a pair is compared once in a band."""
+    from listinglens.operators import hamming
+
+    assert len(hamming._tiles(hamming._tile_bits(values))) == 11
+    for band, radius in enumerate(hamming.RADII):
+        parts = [set(hamming._flips(band, part).tolist()) for part in range(len(hamming.PARTS[radius]))]
+        assert sum(map(len, parts)) == len(set().union(*parts)) == len(hamming._flips(band, None))
+        assert set().union(*parts) == {f for f in range(1 << 16) if f.bit_count() <= radius}
+        for (first, size), flips in zip(hamming.PARTS[radius], parts):
+            assert not any(f >> first & (1 << size) - 1 for f in flips)
+
+
 def test_crowded_codes_are_split_by_the_band_beside(monkeypatch):
     """Values that share a band's code are not all compared, and no similar pair is lost."""
     from listinglens.operators import hamming
