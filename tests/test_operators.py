@@ -354,6 +354,32 @@ def test_far_photos_match_brute_force(spark, spread):
     assert {r["listing_id"]: r["shared"] for r in got.collect()} == {a: len(p) for a, p in want.items()}
 
 
+def test_photos_of_one_cluster_need_no_places(spark, monkeypatch):
+    """Places are gathered for photo values that several clusters show, not for all."""
+    rng = random.Random(4)
+    listings, hashes = [], []
+    for house in range(60):
+        base, lat = rng.getrandbits(64), 50 + rng.random()
+        for i in range(3 * house, 3 * house + 3):
+            listings.append((i, "sell", 70, lat, 14.0, True, 3 * house, 1))
+            hashes += [(i, p, "u", signed(base ^ (i % 3) << 8 * p)) for p in range(3)]
+    # The last two houses show one photo, the two before them similar ones.
+    hashes += [(177, 9, "u", 5), (174, 9, "u", 5), (171, 9, "u", 0xFF0000), (168, 9, "u", 0x1EF0000)]
+    spots, gathered = [], stolen_photos._outermost
+
+    def counted(some):
+        spots.append(some.count())
+        return gathered(some)
+
+    monkeypatch.setattr(stolen_photos, "_outermost", counted)
+    got = stolen_photos.far_shared_photos(
+        make_listings(spark, listings),
+        spark.createDataFrame(hashes, "listing_id long, position int, url string, dhash long"),
+    )
+    assert {r["listing_id"]: r["shared"] for r in got.collect()} == {177: 1, 174: 1, 171: 1, 168: 1}
+    assert sum(spots) <= 8
+
+
 def test_nearest_anywhere_on_the_globe(spark):
     rng = random.Random(9)
     points = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)]
